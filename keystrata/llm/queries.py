@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from . import source_mix
 from .license_scan import op1_license_scan
+from .source_mix import op2_source_mix
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_source_mix": op2_source_mix,
 }
 
 #: DuckDB SQL, where it can express the query; the others are tested against brute-force versions in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_source_mix": source_mix.ORACLE_SQL,
+}
