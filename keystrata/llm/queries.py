@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import source_mix
+from . import chat_format, source_mix
+from .chat_format import op4_chat_format
 from .license_scan import op1_license_scan
 from .source_mix import op2_source_mix
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
+    "op4_chat_format": op4_chat_format,
 }
 
 #: DuckDB SQL, where it can express the query; the others are tested against brute-force versions in tests/llm.
 ORACLES: dict[str, str] = {
     "op2_source_mix": source_mix.ORACLE_SQL,
+    "op4_chat_format": chat_format.ORACLE_SQL,
 }
