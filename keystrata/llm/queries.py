@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import chat_format, source_mix
+from . import chat_format, source_mix, topk_search
 from .chat_format import op4_chat_format
 from .license_scan import op1_license_scan
 from .source_mix import op2_source_mix
+from .topk_search import op6_topk_search
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
     "op4_chat_format": op4_chat_format,
+    "op6_topk_search": op6_topk_search,
 }
 
 #: DuckDB SQL, where it can express the query; the others are tested against brute-force versions in tests/llm.
 ORACLES: dict[str, str] = {
     "op2_source_mix": source_mix.ORACLE_SQL,
     "op4_chat_format": chat_format.ORACLE_SQL,
+    "op6_topk_search": topk_search.ORACLE_SQL,
 }
