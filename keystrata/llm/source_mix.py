@@ -153,7 +153,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_mix_taken").alias("taken"),
         F.get(F.col("_mix_takes"), F.lit(0))["position"].alias("position"),
     )
-    return ordered.orderBy(F.col("position").asc_nulls_last()).drop("position")
+    return ordered.orderBy(F.col("position").asc_nulls_last(), "doc_id").drop("position")
 
 
 ORACLE_SQL = r"""
