@@ -6,12 +6,14 @@ from . import chat_format, source_mix, topk_search
 from .chat_format import op4_chat_format
 from .license_scan import op1_license_scan
 from .source_mix import op2_source_mix
+from .token_files import op5_token_files
 from .topk_search import op6_topk_search
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
     "op4_chat_format": op4_chat_format,
+    "op5_token_files": op5_token_files,
     "op6_topk_search": op6_topk_search,
 }
 
