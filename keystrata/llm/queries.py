@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import chat_format, source_mix, topk_search
 from .chat_format import op4_chat_format
+from .language_id import op9_language_id
 from .license_scan import op1_license_scan
 from .source_mix import op2_source_mix
 from .token_files import op5_token_files
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_token_files": op5_token_files,
     "op6_topk_search": op6_topk_search,
+    "op9_language_id": op9_language_id,
 }
 
 #: DuckDB SQL, where it can express the query; the others are tested against brute-force versions in tests/llm.
