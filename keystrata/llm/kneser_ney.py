@@ -1,0 +1,174 @@
+"""Character trigrams over a folded alphabet, and an interpolated modified Kneser-Ney model of them.
+
+Texts become symbols of a fixed alphabet of 64: lower-case letters, one symbol for capitals, digits, punctuation marks,
+hashed classes of other letters, and one symbol in place of a word that repeats the word before it. So a language has
+at most 64**3 trigrams, which bounds the model, however large the corpus whose counts it holds.
+
+Counts are a table sharded by trigram; the probabilities come from joins of it with the sums over its contexts.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SYMBOLS, SPACE, LINE, REPEAT = 64, 0, 1, 2
+#: Symbols of single marks, from 6 on.
+MARKS = ".,;:!?'\"-()|*$%&#@"
+
+
+def _fold_table() -> np.ndarray:
+    """Symbols of the code points under 0x250; above, 4 or one of 14 hashed classes."""
+    out = np.full(0x250, 5, dtype=np.uint8)  # 5: other marks
+    for c in range(0x250):
+        ch = chr(c)
+        if "a" <= ch <= "z":
+            out[c] = 24 + c - ord("a")
+        elif ch.isdigit():
+            out[c] = 3
+        elif ch in MARKS:
+            out[c] = 6 + MARKS.index(ch)
+        elif ch in "\n\r":
+            out[c] = LINE
+        elif ch.isspace():
+            out[c] = SPACE
+        elif ch.isalpha():
+            out[c] = 4 if ch.isupper() else 50 + c % 14
+    return out
+
+
+FOLD = _fold_table()
+
+
+def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' symbols in a row, each text between two line symbols, and how many each has."""
+    joined = [f"\n{t or ''}\n" for t in texts]
+    lengths = np.array([len(t) for t in joined], dtype=np.int64)
+    code = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sym = FOLD[np.minimum(code, 0x24F)]
+    far = np.nonzero(code >= 0x250)[0]
+    sym[far] = 50 + code[far] % 14
+    doc = np.repeat(np.arange(len(texts)), lengths)
+
+    # words: runs that aren't space; a sum of mixed code points and places names a word
+    space = (sym == SPACE) | (sym == LINE)
+    starts = np.nonzero(~space & np.concatenate([[True], space[:-1]]))[0]
+    ends = np.nonzero(~space & np.concatenate([space[1:], [True]]))[0] + 1
+    if len(starts) > 1:
+        place = np.arange(len(code), dtype=np.uint64)
+        word_of = np.searchsorted(starts, np.arange(len(code)), side="right") - 1
+        inside = (place - starts[np.maximum(word_of, 0)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (code.astype(np.uint64) + inside + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        mixed[space] = 0
+        total = np.concatenate([[0], np.cumsum(mixed)]).astype(np.uint64)
+        name = total[ends] - total[starts]
+        again = (name[1:] == name[:-1]) & ((ends - starts)[1:] == (ends - starts)[:-1]) & (doc[starts[1:]] == doc[starts[:-1]])
+        keep = np.ones(len(sym), dtype=bool)
+        at, upto = starts[1:][again], ends[1:][again]
+        sym[at] = REPEAT
+        edge = np.zeros(len(sym) + 1, dtype=np.int64)
+        np.add.at(edge, at + 1, 1)
+        np.add.at(edge, upto, -1)
+        keep &= np.cumsum(edge[:-1]) == 0
+        sym, doc = sym[keep], doc[keep]
+    return sym, np.bincount(doc, minlength=len(texts))
+
+
+def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigram that ends at each symbol from a text's third on, as one number, and the text it belongs to."""
+    sym, lengths = symbols(texts)
+    doc = np.repeat(np.arange(len(texts)), lengths)
+    s = sym.astype(np.int32)
+    gram = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+    own = doc[2:] == doc[:-2]
+    return gram[own], doc[2:][own]
+
+
+def _discounts(counts: DataFrame, value: str, prefix: str) -> DataFrame:
+    """D1, D2, D3+ of each language, from the numbers of n-grams seen one to four times."""
+    n = [F.sum((F.col(value) == i).cast("double")).alias(f"n{i}") for i in range(1, 5)]
+    found = counts.groupBy("lang").agg(*n)
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    fit = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+
+    def d(i: int, least: float) -> Column:
+        return F.when(fit, F.least(F.lit(float(i)), F.greatest(F.lit(0.1), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(F.lit(least)).alias(f"{prefix}{i}")
+
+    return found.select("lang", d(1, 0.5), d(2, 1.0), d(3, 1.5))
+
+
+def _level(counts: DataFrame, value: str, context: list[str], prefix: str) -> DataFrame:
+    """Each n-gram's discounted share of its context, and the share that its context gives away."""
+    with_d = counts.join(_discounts(counts, value, "d"), "lang")
+    off = F.when(F.col(value) == 1, F.col("d1")).when(F.col(value) == 2, F.col("d2")).otherwise(F.col("d3"))
+    with_d = with_d.withColumn("off", F.least(off, F.col(value).cast("double")))
+    sums = with_d.groupBy("lang", *context).agg(F.sum(value).cast("double").alias("whole"), F.sum("off").alias("given"))
+    sums = sums.select("lang", *context, "whole", (F.col("given") / F.col("whole")).alias(f"{prefix}gamma"))
+    joined = with_d.join(sums, ["lang", *context])
+    return joined.withColumn(f"{prefix}own", (F.col(value) - F.col("off")) / F.col("whole")).drop("off", "d1", "d2", "d3", "whole", value)
+
+
+def probabilities(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (lang, gram, n): log-probabilities of seen trigrams (lang, gram, logp), what contexts seen give away
+    (lang, context, gamma), and bigrams' probabilities for all pairs of symbols (lang, pair, p)."""
+    grams = counts.select("lang", "gram", "n", (F.col("gram") % SYMBOLS).alias("c"), F.floor(F.col("gram") / SYMBOLS).cast("int").alias("ab"), (F.col("gram") % (SYMBOLS * SYMBOLS)).alias("bc"))
+    top = _level(grams, "n", ["ab"], "t_")
+    # lower orders count the different symbols before, not occurrences
+    pairs = grams.groupBy("lang", "bc").agg(F.count("*").alias("m")).withColumn("b", F.floor(F.col("bc") / SYMBOLS).cast("int")).withColumn("c", F.col("bc") % SYMBOLS)
+    ones = pairs.groupBy("lang", "c").agg(F.count("*").alias("k")).withColumn("all", F.lit(0))
+    last = _level(ones, "k", ["all"], "o_")
+    langs = last.groupBy("lang").agg(F.max("o_gamma").alias("o_gamma"))
+    alphabet = langs.select("lang", "o_gamma", F.explode(F.sequence(F.lit(0), F.lit(SYMBOLS - 1))).alias("c"))
+    p1 = alphabet.join(last.select("lang", "c", "o_own"), ["lang", "c"], "left").select("lang", "c", (F.coalesce("o_own", F.lit(0.0)) + F.col("o_gamma") / SYMBOLS).alias("p1"))
+    middle = _level(pairs, "m", ["b"], "m_")
+    gammas = middle.groupBy("lang", "b").agg(F.max("m_gamma").alias("m_gamma"))
+    every = p1.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(SYMBOLS - 1)))).join(gammas, ["lang", "b"], "left")
+    every = every.withColumn("bc", F.col("b") * SYMBOLS + F.col("c")).join(middle.select("lang", "bc", "m_own"), ["lang", "bc"], "left")
+    p2 = every.select("lang", F.col("bc").alias("pair"), (F.coalesce("m_own", F.lit(0.0)) + F.coalesce("m_gamma", F.lit(1.0)) * F.col("p1")).alias("p"))
+    seen = top.join(p2.withColumnRenamed("pair", "bc"), ["lang", "bc"]).select("lang", "gram", F.log(F.col("t_own") + F.col("t_gamma") * F.col("p")).alias("logp"))
+    contexts = top.groupBy("lang", F.col("ab").alias("context")).agg(F.max("t_gamma").alias("gamma"))
+    return seen, contexts, p2
+
+
+class Dense:
+    """A language's model as an array: the negative log-probability of every trigram."""
+
+    def __init__(self, grams: np.ndarray, logp: np.ndarray, contexts: np.ndarray, gamma: np.ndarray, pairs: np.ndarray, p: np.ndarray):
+        p2 = np.full(SYMBOLS * SYMBOLS, 1 / SYMBOLS)
+        p2[pairs] = p
+        away = np.ones(SYMBOLS * SYMBOLS)
+        away[contexts] = gamma
+        full = np.log(away[:, None] * np.tile(p2.reshape(SYMBOLS, SYMBOLS), (SYMBOLS, 1)) + 1e-12).ravel()
+        full[grams] = logp
+        self.cost = -full.astype(np.float32)
+
+
+def numpy_model(texts: list[str | None]) -> Dense:
+    """The same model of one language by plain loops over the counts; the tests compare it with the joins."""
+    gram, _ = trigrams(texts)
+    n3 = np.bincount(gram, minlength=SYMBOLS**3).reshape(SYMBOLS * SYMBOLS, SYMBOLS)
+
+    def level(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n1, n2, n3_, n4 = ((n == i).sum() for i in range(1, 5))
+        if min(n1, n2, n3_, n4) > 0:
+            y = n1 / (n1 + 2 * n2)
+            d = [min(i, max(0.1, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3_), (3, n3_, n4))]
+        else:
+            d = [0.5, 1.0, 1.5]
+        off = np.minimum(np.where(n == 1, d[0], np.where(n == 2, d[1], d[2])), n) * (n > 0)
+        whole = n.sum(-1, keepdims=True)
+        safe = np.maximum(whole, 1)
+        return (n - off) / safe, np.where(whole > 0, off.sum(-1, keepdims=True) / safe, 1.0)
+
+    m = (n3.reshape(SYMBOLS, SYMBOLS, SYMBOLS) > 0).sum(0)
+    own1, gamma1 = level((m > 0).sum(0)[None, :])
+    p1 = own1 + gamma1 / SYMBOLS
+    own2, gamma2 = level(m)
+    p2 = own2 + gamma2 * p1
+    own3, gamma3 = level(n3)
+    p3 = own3 + gamma3 * np.tile(p2, (SYMBOLS, 1))
+    out = Dense.__new__(Dense)
+    out.cost = -np.log(p3 + 1e-12).astype(np.float32).ravel()
+    return out

@@ -6,6 +6,7 @@ from . import chat_format, source_mix, topk_search
 from .chat_format import op4_chat_format
 from .language_id import op9_language_id
 from .license_scan import op1_license_scan
+from .quality import op7_quality
 from .source_mix import op2_source_mix
 from .token_files import op5_token_files
 from .topk_search import op6_topk_search
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_token_files": op5_token_files,
     "op6_topk_search": op6_topk_search,
+    "op7_quality": op7_quality,
     "op9_language_id": op9_language_id,
 }
 
