@@ -7,6 +7,7 @@ from .chat_format import op4_chat_format
 from .language_id import op9_language_id
 from .license_scan import op1_license_scan
 from .quality import op7_quality
+from .simhash import op8_simhash
 from .source_mix import op2_source_mix
 from .token_files import op5_token_files
 from .topk_search import op6_topk_search
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_topk_search": op6_topk_search,
     "op7_quality": op7_quality,
+    "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
 }
 
