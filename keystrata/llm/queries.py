@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import chat_format, source_mix, topk_search
 from .chat_format import op4_chat_format
+from .decontaminate import op10_decontaminate
 from .language_id import op9_language_id
 from .license_scan import op1_license_scan
 from .quality import op7_quality
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: DuckDB SQL, where it can express the query; the others are tested against brute-force versions in tests/llm.
