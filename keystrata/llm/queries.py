@@ -10,12 +10,14 @@ from .license_scan import op1_license_scan
 from .quality import op7_quality
 from .simhash import op8_simhash
 from .source_mix import op2_source_mix
+from .substring_dedup import op3_substring_dedup
 from .token_files import op5_token_files
 from .topk_search import op6_topk_search
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_token_files": op5_token_files,
     "op6_topk_search": op6_topk_search,
