@@ -107,11 +107,11 @@ def _level(counts: DataFrame, value: str, context: list[str], prefix: str) -> Da
     sums = with_d.groupBy("lang", *context).agg(F.sum(value).cast("double").alias("whole"), F.sum("off").alias("given"))
     sums = sums.select("lang", *context, "whole", (F.col("given") / F.col("whole")).alias(f"{prefix}gamma"))
     joined = with_d.join(sums, ["lang", *context])
-    return joined.withColumn(f"{prefix}own", (F.col(value) - F.col("off")) / F.col("whole")).drop("off", "d1", "d2", "d3", "whole", value)
+    return joined.withColumn(f"{prefix}own", (F.col(value) - F.col("off")) / F.col("whole")).drop("off", "d1", "d2", "d3", "whole")
 
 
 def probabilities(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From (lang, gram, n): log-probabilities of seen trigrams (lang, gram, logp), what contexts seen give away
+    """From (lang, gram, n): log-probabilities of seen trigrams (lang, gram, n, logp), what contexts seen give away
     (lang, context, gamma), and bigrams' probabilities for all pairs of symbols (lang, pair, p)."""
     grams = counts.select("lang", "gram", "n", (F.col("gram") % SYMBOLS).alias("c"), F.floor(F.col("gram") / SYMBOLS).cast("int").alias("ab"), (F.col("gram") % (SYMBOLS * SYMBOLS)).alias("bc"))
     top = _level(grams, "n", ["ab"], "t_")
@@ -127,7 +127,7 @@ def probabilities(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     every = p1.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(SYMBOLS - 1)))).join(gammas, ["lang", "b"], "left")
     every = every.withColumn("bc", F.col("b") * SYMBOLS + F.col("c")).join(middle.select("lang", "bc", "m_own"), ["lang", "bc"], "left")
     p2 = every.select("lang", F.col("bc").alias("pair"), (F.coalesce("m_own", F.lit(0.0)) + F.coalesce("m_gamma", F.lit(1.0)) * F.col("p1")).alias("p"))
-    seen = top.join(p2.withColumnRenamed("pair", "bc"), ["lang", "bc"]).select("lang", "gram", F.log(F.col("t_own") + F.col("t_gamma") * F.col("p")).alias("logp"))
+    seen = top.join(p2.withColumnRenamed("pair", "bc"), ["lang", "bc"]).select("lang", "gram", "n", F.log(F.col("t_own") + F.col("t_gamma") * F.col("p")).alias("logp"))
     contexts = top.groupBy("lang", F.col("ab").alias("context")).agg(F.max("t_gamma").alias("gamma"))
     return seen, contexts, p2
 

@@ -20,10 +20,11 @@ results; a document labelled twice is trusted if no label speaks against it. Oth
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +37,9 @@ QUANTILE, PRIOR, MODELS = 0.99, 50.0, 32
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of trusted documents; the table grows with the corpus, so it is always joined by sorting, at every size."""
     each = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("bad"))
-    return each.where((F.col("good") == 1) & (F.col("bad") == 0)).select(F.col("doc_id").alias("_q_id"))
+    return each.where((F.col("good") == 1) & (F.col("bad") == 0)).select(F.col("doc_id").alias("_q_id")).hint("merge")
 
 
 def count_trigrams(texts: DataFrame) -> DataFrame:
@@ -70,32 +72,39 @@ def count_trigrams(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Probability tables of all languages, the arrays of the commonest, and thresholds."""
+    """Probability tables of all languages, their mean costs, and the arrays of the commonest."""
 
     tables: tuple[DataFrame, DataFrame, DataFrame]
-    arrays: dict[str, np.ndarray]
-    others: set[str]
     means: dict[str, float]
-    thresholds: dict[str, float] = field(default_factory=dict)
+    arrays: dict[str, np.ndarray]
+
+    @property
+    def others(self) -> list[str]:
+        """Languages without an array."""
+        return sorted(self.means.keys() - self.arrays.keys())
 
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, models: int = MODELS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, models: int = MODELS) -> Model:
     trusted = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     trusted = trusted.join(trusted_ids(labels), F.col("doc_id") == F.col("_q_id")).select(F.col("lang").cast("string").alias("lang"), "text")
     counts = materialize(count_trigrams(trusted), "kn-counts")
-    tables = tuple(materialize(t, f"kn-{name}") for t, name in zip(probabilities(counts), ("seen", "contexts", "pairs"), strict=True))
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()
-    means = {r["lang"]: r["m"] for r in counts.join(tables[0], ["lang", "gram"]).groupBy("lang").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("m")).collect()}
+    seen, contexts, pairs = (materialize(t, f"kn-{name}") for t, name in zip(probabilities(counts), ("seen", "contexts", "pairs"), strict=True))
+    totals = seen.groupBy("lang").agg(F.sum("n").alias("n"), (-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("mean")).orderBy(F.desc("n"), "lang").collect()
+    near = [r["lang"] for r in totals[:models]]
+    found = [t.where(F.col("lang").isin(near)).toArrow() for t in (seen, contexts, pairs)] if near else []
     arrays = {}
-    for r in sizes[:models]:
-        seen, contexts, pairs = (t.where(F.col("lang") == r["lang"]).drop("lang").toArrow() for t in tables)
-        col = lambda t, c: t.column(c).to_numpy()
-        arrays[r["lang"]] = Dense(col(seen, "gram"), col(seen, "logp"), col(contexts, "context"), col(contexts, "gamma"), col(pairs, "pair"), col(pairs, "p")).cost
-    model = Model(tables, arrays, {r["lang"] for r in sizes[models:]}, means)
-    own = materialize(score(docs.select("doc_id", "lang", "text"), model).drop("text"), "kn-scores").where(F.col("lang").isNotNull())
-    own = own.join(trusted_ids(labels), F.col("doc_id") == F.col("_q_id"))
-    model.thresholds = {r["lang"]: r["t"] for r in own.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.percentile_approx("_q_score", quantile, 100_000).alias("t")).collect() if r["lang"] in means and r["t"] is not None}
-    return model
+    for lang in near:
+        own = [t.filter(pc.equal(t.column("lang"), lang)) for t in found]
+        col = lambda i, c, own=own: own[i].column(c).to_numpy()
+        arrays[lang] = Dense(col(0, "gram"), col(0, "logp"), col(1, "context"), col(1, "gamma"), col(2, "pair"), col(2, "p")).cost
+    return Model((seen, contexts, pairs), {r["lang"]: r["mean"] for r in totals}, arrays)
+
+
+def thresholds(scored: DataFrame, labels: DataFrame, model: Model, quantile: float = QUANTILE) -> dict[str, float]:
+    """The quantile of the trusted documents' scores, for each language with a model; over all of them."""
+    own = scored.select("doc_id", F.col("lang").cast("string").alias("lang"), "_q_score").join(trusted_ids(labels), F.col("doc_id") == F.col("_q_id"))
+    found = own.groupBy("lang").agg(F.percentile_approx("_q_score", quantile, 100_000).alias("t")).collect()
+    return {r["lang"]: r["t"] for r in found if r["lang"] in model.means and r["t"] is not None}
 
 
 def score(docs: DataFrame, model: Model, prior: float = PRIOR) -> DataFrame:
@@ -121,16 +130,16 @@ def score(docs: DataFrame, model: Model, prior: float = PRIOR) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in fields), pa.array(n, pa.int64()), pa.array(best, pa.float64(), from_pandas=True)], names=[*fields, "_q_n", "_q_score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_q_n", T.LongType()), T.StructField("_q_score", T.DoubleType())])
-    near = docs.where(~F.coalesce(F.col("lang").cast("string").isin(sorted(model.others)), F.lit(False))) if model.others else docs
+    near = docs.where(~F.coalesce(F.col("lang").cast("string").isin(model.others), F.lit(False))) if model.others else docs
     out = near.mapInArrow(run, schema)
     if model.others:
-        out = out.unionByName(score_by_join(docs.where(F.col("lang").cast("string").isin(sorted(model.others))), model, prior))
+        out = out.unionByName(score_by_join(docs.where(F.col("lang").cast("string").isin(model.others)), model, prior))
     return out
 
 
 def score_by_join(docs: DataFrame, model: Model, prior: float = PRIOR) -> DataFrame:
     """The same scores from a join of documents' trigram counts with the probability tables."""
-    seen, contexts, pairs = model.tables
+    seen, contexts, pairs = model.tables[0].drop("n"), *model.tables[1:]
     own = materialize(docs.withColumn("_q_row", F.monotonically_increasing_id()), "kn-rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,23 +161,29 @@ def score_by_join(docs: DataFrame, model: Model, prior: float = PRIOR) -> DataFr
     return out.withColumns({"_q_score": (cost + prior * mean) / (n + prior), "_q_n": n}).drop("_q_cost").select(*docs.columns, "_q_n", "_q_score")
 
 
-def judge(scored: DataFrame, model: Model) -> DataFrame:
+def judge(scored: DataFrame, limits: dict[str, float]) -> DataFrame:
     """Adds _q_threshold and _q_keep."""
-    if not model.thresholds:
+    if not limits:
         return scored.withColumns({"_q_threshold": F.lit(None).cast("double"), "_q_keep": F.lit(True)})
-    own = F.create_map(*(F.lit(x) for kv in sorted(model.thresholds.items()) for x in kv))
-    limit = F.coalesce(F.try_element_at(own, F.coalesce(F.col("lang").cast("string"), F.lit(""))), F.lit(max(model.thresholds.values())))
+    own = F.create_map(*(F.lit(x) for kv in sorted(limits.items()) for x in kv))
+    limit = F.coalesce(F.try_element_at(own, F.coalesce(F.col("lang").cast("string"), F.lit(""))), F.lit(max(limits.values())))
     return scored.withColumn("_q_threshold", limit).withColumn("_q_keep", F.coalesce(F.col("_q_score") <= F.col("_q_threshold"), F.lit(True)) | (F.col("_q_n") == 0))
 
 
+def classify(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model, dict[str, float]]:
+    """A row for each document (doc_id, lang, _q_n, _q_score, _q_threshold, _q_keep), the model and the thresholds."""
+    model = fit(docs, labels)
+    scored = materialize(score(docs.select("doc_id", "lang", "text"), model).drop("text"), "kn-scores")
+    limits = thresholds(scored, labels, model)
+    return judge(scored, limits), model, limits
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, all columns as they are."""
-    model = fit(docs, labels)
-    return judge(score(docs, model), model).where("_q_keep").select(*docs.columns)
+    _, model, limits = classify(docs, labels)
+    return judge(score(docs, model), limits).where("_q_keep").select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    judged = judge(score(docs, model), model)
+    judged, _, _ = classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "lang", F.col("_q_n").alias("n_symbols"), F.exp("_q_score").alias("perplexity"), F.exp("_q_threshold").alias("threshold"), F.col("_q_keep").alias("keep"))
