@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def unix_nanos(ts: Column) -> Column:
     """Nanoseconds since 1970 of a time without a zone, whatever the session's zone."""
-    seconds = F.unix_date(ts.cast("date")).cast("long") * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60
-    return seconds * F.lit(1_000_000_000) + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long") * 1_000
+    since = ts.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(20, 6)") * F.lit(1_000_000).cast("decimal(8, 0)")).cast("long") * 1_000
 
 
 def event_log(events: DataFrame) -> DataFrame:
