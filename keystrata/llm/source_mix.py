@@ -121,7 +121,7 @@ def plan_mix(
         words = F.greatest(F.lit(0).cast("long"), F.least(F.col("_mix_size"), goal - at))
         position = F.lit(None).cast("double")
         for i, schedule in reversed(list(enumerate(schedules))):
-            position = F.when(F.col("_mix_schedule") == i, inverse(schedule, at.cast("double") / F.col("_mix_target"))).otherwise(position)
+            position = F.when(F.col("_mix_schedule") == i, inverse(schedule, F.try_divide(at.cast("double"), F.col("_mix_target")))).otherwise(position)
         return F.struct(words.alias("words"), position.alias("position"))
 
     takes = F.filter(F.array(*(take(n) for n in range(cap))), lambda t: t["words"] > 0)
