@@ -119,7 +119,7 @@ def cut_repeats(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     """The documents with passages cut that lie wholly in homes elsewhere; all columns as they are."""
     spans = passages(docs, least).where(F.col("removable") == F.col("end") - F.col("start"))
     spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_sd_spans")).withColumnRenamed("doc_id", "_sd_id")
-    joined = docs.join(spans, F.col("doc_id") == F.col("_sd_id"), "left")
+    joined, fields = docs.join(spans, F.col("doc_id") == F.col("_sd_id"), "left"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
@@ -132,7 +132,7 @@ def cut_repeats(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
                         at = span["end"]
                     text = b"".join([*kept, coded[at:]]).decode("utf-8", "ignore")
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else piece.column(c) for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else piece.column(c) for c in fields], names=fields)
 
     return joined.mapInArrow(run, docs.schema)
 
