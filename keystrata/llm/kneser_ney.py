@@ -62,7 +62,7 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         mixed = (code.astype(np.uint64) + inside + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(29)
         mixed[space] = 0
-        total = np.concatenate([[0], np.cumsum(mixed)]).astype(np.uint64)
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed)])
         name = total[ends] - total[starts]
         again = (name[1:] == name[:-1]) & ((ends - starts)[1:] == (ends - starts)[:-1]) & (doc[starts[1:]] == doc[starts[:-1]])
         keep = np.ones(len(sym), dtype=bool)
