@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.operators import resolve
+from keystrata.operators.sequential import RecentKeys
 
 SCHEMA = "key string, value string, expiry_ns long, is_deleted boolean, seq long"
 MEMORY, FIRST, MERGED = -1, 0, 1
@@ -28,7 +29,7 @@ class Options:
     flush_bytes: int = 64 << 20
     compact_at: int = 4
     bloom_rate: float = 0.01
-    durable: bool = True
+    cache_keys: int = 40_000
 
     @classmethod
     def of(cls, settings: dict) -> Options:
@@ -64,6 +65,8 @@ class Store:
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.manifest = self._load()
+        self.counters = dict.fromkeys(("writes", "reads", "cache_hits", "found", "missing"), 0)
+        self._recent, self._recent_of = RecentKeys(self.options.cache_keys), self.manifest.version
 
     # files
 
@@ -129,6 +132,7 @@ class Store:
         made = self._segment(inside, MEMORY, now.next_segment)
         high = self.spark.read.schema(SCHEMA).parquet(made.path).agg(F.max("seq")).first()[0]
         self._commit(Manifest(now.version + 1, (high if high is not None else now.next_seq - 1) + 1, now.next_segment + 1, (*now.segments, made)))
+        self.counters["writes"] += made.rows
         if sum(s.bytes for s in self.manifest.at(MEMORY)) >= self.options.flush_bytes:
             self.flush()
         return self.manifest
@@ -137,6 +141,11 @@ class Store:
         row = [(key, value, now_ns + ttl * resolve.NANOS if ttl > 0 else 0, False, 0)]
         return self.append(self.spark.createDataFrame(row, SCHEMA))
 
+    def put_batch(self, items: list[dict], now_ns: int = 0) -> Manifest:
+        """Items with key and, if wanted, value and ttl, in one commit: all or none; a later item of a key wins."""
+        rows = [(x["key"], x.get("value") or "", now_ns + ttl * resolve.NANOS if (ttl := x.get("ttl") or 0) > 0 else 0, False, i) for i, x in enumerate(items)]
+        return self.append(self.spark.createDataFrame(rows, SCHEMA)) if rows else self.manifest
+
     def delete(self, key: str) -> Manifest:
         return self.append(self.spark.createDataFrame([(key, "", 0, True, 0)], SCHEMA))
 
@@ -189,8 +198,29 @@ class Store:
         return resolve.latest(self.log(manifest))
 
     def get(self, key: str, now_ns: int) -> str | None:
-        """The live value of a key. Segments whose key range excludes it aren't opened."""
-        near = [s for s in self.manifest.segments if s.rows and s.min_key <= key <= s.max_key]
-        found = resolve.latest(self._scan(near).where(F.col("key") == key)).where(~F.col("is_deleted") & ~resolve.expired(F.lit(now_ns)))
-        row = found.select("value").first()
-        return None if row is None else row["value"]
+        """The live value of a key. Segments whose key range excludes it aren't opened; versions read are kept for the
+        next read until the manifest changes, with their expiry, which is applied on every read."""
+        if self._recent_of != self.manifest.version:
+            self._recent, self._recent_of = RecentKeys(self.options.cache_keys), self.manifest.version
+        self.counters["reads"] += 1
+        version = self._recent.get(key)
+        if version is not None:
+            self.counters["cache_hits"] += 1
+        else:
+            near = [s for s in self.manifest.segments if s.rows and s.min_key <= key <= s.max_key]
+            row = resolve.latest(self._scan(near).where(F.col("key") == key)).first()
+            version = (None, 0, True) if row is None else (row["value"], row["expiry_ns"], row["is_deleted"])
+            self._recent.put(key, version)
+        value, expiry_ns, deleted = version
+        gone = deleted or 0 < expiry_ns < now_ns
+        self.counters["missing" if gone else "found"] += 1
+        return None if gone else value
+
+    def get_many(self, keys: DataFrame, now_ns: int) -> DataFrame:
+        """Each key of a table with its outcome, and its value where live."""
+        return resolve.lookup(keys, self.log(), F.lit(now_ns))
+
+    def metrics(self) -> dict[str, int]:
+        """Counters of this handle, and rows, bytes and segments of the manifest."""
+        levels = {f"segments_at_{name}": len(self.manifest.at(level)) for name, level in (("memory", MEMORY), ("first", FIRST), ("merged", MERGED))}
+        return self.counters | levels | {"rows": sum(s.rows for s in self.manifest.segments), "bytes": sum(s.bytes for s in self.manifest.segments)}

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Entry = tuple[str, bytes, int, bool]
+#: Numbers between those of a file's parts and the next file's.
+PARTS = 10_000
 
 
 class TornRecord(ValueError):
@@ -132,6 +134,30 @@ def decode(files: DataFrame, reader: Callable[[bytes], Iterator[tuple[int, Entry
     return files.select("file", "part", "content").mapInArrow(run, schema)
 
 
+def write_files(contents: DataFrame, folder: str, name: str) -> list[str]:
+    """Writes (file, part, content) as files ``name.format(number)``, parts of a file numbered on, and gives their names.
+
+    A task writes under a name of its own and then moves the file, so a repeated attempt leaves the same files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            names = [name.format(f * PARTS + p) for f, p in zip(batch.column("file").to_pylist(), batch.column("part").to_pylist(), strict=True)]
+            for to, content in zip(names, batch.column("content"), strict=True):
+                with store.open_output_stream(own := f"{top}/_{uuid.uuid4().hex}") as out:
+                    out.write(content.as_py())
+                store.move(own, f"{top}/{to}")
+            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
+
+    return sorted(r["name"] for r in contents.mapInArrow(run, "name string").collect())
+
+
 def read_log_files(spark: SparkSession, folder: str, lenient: bool = False) -> DataFrame:
     """Rows of the log files in a folder; ``file`` is the number in a file's name, 0 if it has none."""
     return decode(_files(spark, folder), read_log, lenient)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.operators import resolve
+from keystrata.plans.store import Store
 
 COLUMNS = ["key", "value", "expiry_ns", "is_deleted", "seq"]
 
@@ -30,6 +31,17 @@ def run_upsert(stream: DataFrame, folder: str, checkpoint: str) -> None:
         raise RuntimeError(str(query.exception()))
 
 
+def ingest(stream: DataFrame, store: Store, checkpoint: str) -> None:
+    """Appends all that is there to a store, a commit a micro-batch; ``maxFilesPerTrigger`` of the reader bounds one.
+
+    A batch that is repeated after a failure appends the same versions again, which leaves the state as it is.
+    """
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, number: store.append(batch) and None).start()
+    query.awaitTermination()
+    if query.exception():
+        raise RuntimeError(str(query.exception()))
+
+
 def read_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """The newest of all that the batches wrote."""
     return resolve.latest(spark.read.parquet(folder).select(*COLUMNS))

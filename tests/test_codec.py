@@ -59,3 +59,14 @@ def test_file_numbers(spark):
     names = [("L0_123.sst", 123), ("wal.456", 456), ("other.sst", 0), ("L0_99999999999999999999.sst", 0)]
     got = spark.createDataFrame(names, "p string, n long").select(codec.file_number(F.col("p")).alias("g"), "n").collect()
     assert all(r["g"] == r["n"] for r in got)
+
+
+def test_written_files_read_back(spark, tmp_path):
+    log = spark.createDataFrame(ROWS, SCHEMA)
+    names = codec.write_files(codec.encode_log(log, F.floor(F.col("seq") / 2), file_bytes=1), str(tmp_path / "wal"), "wal.{}")
+    assert names == ["wal.0", "wal.1", "wal.10000", "wal.10001"]
+    back = codec.read_log_files(spark, str(tmp_path / "wal")).collect()
+    assert [r["key"] for r in sorted(back, key=lambda r: r["file"])] == [r[0] for r in ROWS]
+    assert codec.write_files(codec.encode_segments(log.withColumn("segment", F.lit(3).cast("long"))), str(tmp_path / "sst"), "L0_{}.sst") == ["L0_30000.sst"]
+    segment = codec.read_segment_files(spark, str(tmp_path / "sst")).orderBy("offset").collect()
+    assert [r["key"] for r in segment] == sorted(r[0] for r in ROWS)

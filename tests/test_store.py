@@ -5,6 +5,7 @@ import random
 import pytest
 
 from keystrata.plans.store import SCHEMA, Options, Store
+from keystrata.streaming import upsert
 from tests.test_resolve import model, random_log
 
 
@@ -71,3 +72,24 @@ def test_flush_threshold(spark, tmp_path):
 
 def test_options_overlay():
     assert Options.of({"compact_at": 2, "unknown": 1}) == Options(compact_at=2)
+
+
+def test_batches_metrics_and_the_key_cache(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), Options(cache_keys=2))
+    store.put_batch([{"key": "a", "value": "1"}, {"key": "b"}, {"key": "a", "value": "2", "ttl": 1}])
+    assert store.put_batch([]).version == 1
+    assert store.get("a", 0) == "2" and store.get("a", 10**9 + 1) is None and store.get("b", 0) == "" and store.get("x", 0) is None
+    keys = spark.createDataFrame([("a",), ("x",)], "key string")
+    assert {r["key"]: r["outcome"] for r in store.get_many(keys, 10**9 + 1).collect()} == {"a": "expired", "x": "missing"}
+    assert store.metrics() | {"rows": 3, "bytes": 53, "segments_at_memory": 1, "writes": 3, "reads": 4, "cache_hits": 1, "found": 2, "missing": 2} == store.metrics()
+    store.put("a", "3")
+    assert store.get("a", 10**9 + 1) == "3"
+
+
+def test_a_stream_into_a_store(spark, tmp_path):
+    rows = random_log(5, 90)
+    for at in range(0, 90, 30):
+        spark.createDataFrame(rows[at : at + 30], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        store = Store(spark, str(tmp_path / "s"))
+        upsert.ingest(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), store, str(tmp_path / "checkpoint"))
+    assert state(Store(spark, str(tmp_path / "s"))) == model(rows, 100)
