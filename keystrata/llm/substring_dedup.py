@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A chunk ends where the gear hash of the bytes before has four given bits zero and no such place is within ``LEAST``
-bytes before, or ``MOST`` bytes after the last end. Where it ends depends on the 27 bytes before alone (but for the cut
+bytes before, or ``MOST`` bytes after the last end. Where it ends depends on the 28 bytes before alone (but for the cut
 at MOST), so a passage has the same inner chunks wherever it stands, whatever was inserted before. Chunks are named by
 a 64-bit digest; a digest that occurs in two documents or more is repeated. Repeated chunks that follow each other make
 a passage, reported from ``PASSAGE`` bytes on: random equal chunks and short common lines stay below, a passage of over
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .common import table, text_slices
 
-LEAST, MOST, PASSAGE, WINDOW = 12, 512, 120, 16
+LEAST, MOST, PASSAGE, WINDOW = 12, 512, 200, 16
 #: The gear table: a random 32-bit number for each byte, the same in every run.
 GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 
