@@ -44,8 +44,14 @@ class Packed:
         return cls(n, block, bits, *arrays), at
 
 
+#: Bits of each number under 2**16.
+SHORT_WIDTHS = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
+
+
 def bit_length(values: np.ndarray) -> np.ndarray:
     """Of unsigned integers under 2**60."""
+    if values.max(initial=0) < 1 << 16:
+        return SHORT_WIDTHS[values.astype(np.uint16)]
     low, high = values & np.uint64(0x3FFFFFFF), values >> np.uint64(30)
     width = lambda x: np.frexp(x.astype(np.float64))[1]  # noqa: E731  exact under 2**53
     return np.where(high > 0, width(high) + 30, width(low)).astype(np.uint8)
@@ -103,17 +109,20 @@ def encode(values: np.ndarray, block: int = BLOCK, escape_bits: int = ESCAPE_BIT
         live = live[at[live] < lengths[live]]
     if rows:
         row, start, sel = np.concatenate(rows), np.concatenate(starts), np.concatenate(chosen)
-        order = np.lexsort((start, row))
+        order = np.argsort(row, kind="stable")  # a row's words were met in order
         row, start, sel = row[order], start[order], sel[order]
     else:
         row = start = np.zeros(0, dtype=np.int64)
         sel = np.zeros(0, dtype=np.uint8)
-    words = sel.astype(np.uint64)
+    words, flat = sel.astype(np.uint64), wide.ravel()
     for s, (c, bits) in enumerate(SELECTORS):
         where = np.nonzero(sel == s)[0]
         if bits and len(where):
+            at_first = row[where] * wide.shape[1] + start[where]
+            packed = words[where]
             for j in range(c):
-                words[where] |= wide[row[where], start[where] + j] << np.uint64(4 + j * bits)
+                packed |= flat[at_first + j] << np.uint64(4 + j * bits)
+            words[where] = packed
     word_offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=blocks))]).astype(np.uint64)
     return Packed(n, block, escape_bits, word_offsets, escape_offsets, words, escapes)
 
@@ -140,10 +149,15 @@ def decode(packed: Packed, first: int = 0, last: int | None = None) -> np.ndarra
         if not bits or not len(where):
             continue
         mask = np.uint64((1 << bits) - 1)
+        first_at, packed_words, stop = start[where], words[where], end[where]
+        whole = bool((first_at + c <= stop).all())
         for j in range(c):
-            to = start[where] + j
-            inside = to < end[where]
-            out[to[inside]] = (words[where[inside]] >> np.uint64(4 + j * bits)) & mask
+            values = (packed_words >> np.uint64(4 + j * bits)) & mask
+            if whole:
+                out[first_at + j] = values
+            else:
+                inside = first_at + j < stop
+                out[first_at[inside] + j] = values[inside]
     marks = np.nonzero(out == np.uint64((1 << packed.escape_bits) - 1))[0]
     out[marks] = packed.escapes[int(packed.escape_offsets[first]) : int(packed.escape_offsets[last])]
     return out

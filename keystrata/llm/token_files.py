@@ -5,10 +5,9 @@ ids into the shared folder, under names no other attempt uses, and reports them.
 commit protocol, so files of failed or repeated attempts are named nowhere and never read. Starts are prefix sums: over
 a partition's files, and over one number a partition. Reading back goes through Spark's binary reader.
 
-The encoder relies on this tokenizer treating white space as a boundary: texts are cut at spaces and line ends. Pieces of
-plain letters are cut into words as the tokenizer cuts them, and new words go to the library's model; all other pieces
-go to the library's tokenizer whole. Bounded caches keep the ids of pieces and words. Ids are those of the tokenizer over
-the whole text (the tests compare them).
+The encoder relies on this tokenizer treating white space as a boundary. Texts of plain letters are cut into words as
+the tokenizer cuts them, and words that a bounded cache doesn't hold go to the library's model; pieces of all other
+texts go to the library's tokenizer. Ids are those of the tokenizer over the whole text (the tests compare them).
 
 Defined results: null text is empty and has only the end id; a null document id comes first; repeated ids are ordered
 by text, null first, and each keeps its own row; an empty table writes no file and gives no rows; other columns are not
@@ -34,13 +33,13 @@ from pyspark.sql.window import Window
 from .common import materialize, scratch, table, text_slices
 from .simple8b import read_shard, write_shard
 
-#: The id that ends a document; ids of a file; pieces kept, and characters of one at most.
-END_ID, FILE_IDS, CACHE_PIECES, CACHE_CHARS = 1, 1 << 20, 250_000, 48
+#: The id that ends a document; ids of a file; words kept, and characters of one at most.
+END_ID, FILE_IDS, CACHE_WORDS, CACHE_CHARS = 1, 1 << 20, 300_000, 48
 
 
-#: Pieces of these characters are cut into the tokenizer's words here: lower case and cutting are plain for them.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Texts of these characters alone are cut into the tokenizer's words here: lower case and cutting are plain for them.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ \\n\\t\\r]*")
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \\n\\t\\r]+")
 
 
 def byte_letters() -> list[str]:
@@ -52,7 +51,7 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, with bounded caches of the ids of pieces and of words."""
+    """Ids of texts by the tokenizers library, with a bounded cache of the ids of words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,50 +60,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.pieces: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
 
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
+    def plain(self, words: list[list[str]]) -> list[bytes]:
+        """Ids of texts that are cut into words already; new words go to the library's model."""
+        known = self.words
+        new = set().union(*words).difference(known)
+        for word in new:
             letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            if len(word) <= CACHE_CHARS:
-                self.words[word] = ids
-        return ids
+            known[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        out = [b"".join(map(known.__getitem__, w)) for w in words]
+        for word in new:
+            if len(word) > CACHE_CHARS:
+                del known[word]
+        return out
+
+    def other(self, texts: list[str]) -> list[bytes]:
+        """Ids of other texts: their pieces between spaces go to the library's tokenizer."""
+        known = self.pieces
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = list(set().union(*split).difference(known))
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            known.update((p, array("I", f.ids).tobytes()) for p, f in zip(part, found, strict=True))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        for piece in new:
+            if len(piece) > CACHE_CHARS:
+                del known[piece]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Each text's ids, without an end id."""
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces = {"": b""}
-        if len(self.words) > CACHE_PIECES:
+        if len(self.words) > CACHE_WORDS:
             self.words = {}
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known, word = self.pieces, self.word
-        long: dict[str, bytes] = {}
-        other: list[str] = []
-        for pieces in split:
-            for piece in pieces:
-                if piece in known:
-                    continue
-                if "<|" not in piece and PLAIN.fullmatch(piece):
-                    ids = b"".join([word(w) for w in PLAIN_WORDS.findall(piece.lower())])
-                    if len(piece) > CACHE_CHARS:
-                        long[piece] = ids
-                    known[piece] = ids
-                else:
-                    other.append(piece)
-                    known[piece] = b""
-        for at in range(0, len(other), 20_000):
-            part = other[at : at + 20_000]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = array("I", got.ids).tobytes()
-                if len(piece) > CACHE_CHARS:
-                    long[piece] = known[piece]
-        out = [np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4") for pieces in split]
-        for piece in long:
-            del known[piece]
-        return out
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {"": b""}
+        texts = [t or "" for t in texts]
+        easy = ["<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
+        plain = iter(self.plain([PLAIN_WORDS.findall(t.lower()) for t, e in zip(texts, easy, strict=True) if e]))
+        other = iter(self.other([t for t, e in zip(texts, easy, strict=True) if not e]))
+        return [np.frombuffer(next(plain if e else other), dtype="<u4") for e in easy]
 
 
 _ENCODERS: dict[str, Encoder] = {}
