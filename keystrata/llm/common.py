@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch that a Python operator handles at once.
@@ -27,7 +28,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Pieces of at most SLICE rows and about ``chars`` bytes of one string column; a single longer text comes alone."""
     for piece in slices(batches):
-        sizes = [len(x) if x else 0 for x in piece.column(column).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(piece.column(column)), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > chars:
