@@ -1,20 +1,20 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, perplexity, and language quantiles.
 
-Trusted are the documents that ``labels`` calls good and not toxic. All of them are counted: tasks count trigrams of
-their documents by language, the counts are summed in a table sharded by trigram, and joins with the sums over contexts
-give each trigram's probability. A document's score is its mean negative log-probability under its language's model,
-drawn to the language's mean by ``PRIOR`` symbols so that short texts need strong evidence. A document is rejected if its
-score is above the ``QUANTILE`` of the trusted documents of its language.
-
-Scale: the folded alphabet bounds a language's model at 64**3 numbers (1 MB), whatever the corpus; up to
-``MODELS`` languages go to the tasks as arrays and scoring is one pass without a shuffle. Documents of further
-languages are scored by a sharded join of their trigram counts with the probability tables; both ways agree. Trigrams
-of a task are summed before the shuffle, so no key is hot.
-
-Defined results: null or empty text has perplexity 1 over 0 symbols and is kept at the language's mean; a document
+Trusted are the documents that ``labels`` calls good and not toxic. All of them are counted, as word trigrams that grow
+with the corpus (see ``word_model``), and every language is scored by the join of its documents' trigrams with the
+counts. A document's score is its mean negative log-probability a word under its language's model of the half of the
+trusted documents that it is not in, drawn to the mean of the trusted by ``PRIOR_WORDS`` words so that short texts need
+strong evidence. A document is rejected if its score is above the ``QUANTILE`` of the trusted documents of its language.
+
+Scale: all tables are sharded by trigram, context, word or row; what is collected is one row a model (two a language).
+Trigrams of a task are summed before the shuffle, and joins are ones that adaptive execution splits.
+
+Defined results: null or empty text has 0 words and is kept at the language's mean; a document
 whose language is null or has no trusted text is scored by the model that suits it best (score: the lowest), against
 the most lenient threshold; without any trusted text all documents are kept, scores null; repeated rows give repeated
 results; a document labelled twice is trusted if no label speaks against it. Other columns are carried.
+
+``fit``, ``score`` and ``score_by_join`` are the earlier model of folded character trigrams; no query uses them.
 """
 
 from __future__ import annotations
@@ -25,15 +25,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, table, text_slices
 from .kneser_ney import SYMBOLS, Dense, probabilities, trigrams
+from .word_model import WordModel, count_words, document_costs, half
 
 #: The quantile of trusted scores that bounds a language; symbols of prior; languages with a model as an array.
 QUANTILE, PRIOR, MODELS = 0.99, 50.0, 32
+#: Words of prior: about as much text as ``PRIOR`` symbols.
+PRIOR_WORDS = 10.0
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -100,11 +103,11 @@ def fit(docs: DataFrame, labels: DataFrame, models: int = MODELS) -> Model:
     return Model((seen, contexts, pairs), {r["lang"]: r["mean"] for r in totals}, arrays)
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, model: Model, quantile: float = QUANTILE) -> dict[str, float]:
-    """The quantile of the trusted documents' scores, for each language with a model; over all of them."""
+def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> dict[str, float]:
+    """The quantile of the trusted documents' scores, for each language; over all of them."""
     own = scored.select("doc_id", F.col("lang").cast("string").alias("lang"), "_q_score").join(trusted_ids(labels), F.col("doc_id") == F.col("_q_id"))
-    found = own.groupBy("lang").agg(F.percentile_approx("_q_score", quantile, 100_000).alias("t")).collect()
-    return {r["lang"]: r["t"] for r in found if r["lang"] in model.means and r["t"] is not None}
+    found = own.where("lang IS NOT NULL").groupBy("lang").agg(F.percentile_approx("_q_score", quantile, 100_000).alias("t")).collect()
+    return {r["lang"]: r["t"] for r in found if r["t"] is not None}
 
 
 def score(docs: DataFrame, model: Model, prior: float = PRIOR) -> DataFrame:
@@ -170,20 +173,59 @@ def judge(scored: DataFrame, limits: dict[str, float]) -> DataFrame:
     return scored.withColumn("_q_threshold", limit).withColumn("_q_keep", F.coalesce(F.col("_q_score") <= F.col("_q_threshold"), F.lit(True)) | (F.col("_q_n") == 0))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model, dict[str, float]]:
-    """A row for each document (doc_id, lang, _q_n, _q_score, _q_threshold, _q_keep), the model and the thresholds."""
-    model = fit(docs, labels)
-    scored = materialize(score(docs.select("doc_id", "lang", "text"), model).drop("text"), "kn-scores")
-    limits = thresholds(scored, labels, model)
-    return judge(scored, limits), model, limits
+def choices(models: dict[tuple[str, int], int]) -> list[dict[str, int]]:
+    """For documents of either half, each language's model: that of the other half, or the only one there is."""
+    langs = {lang for lang, _ in models}
+    return [{lang: models.get((lang, 1 - own), models.get((lang, own))) for lang in langs} for own in (0, 1)]
+
+
+def score_words(rows: DataFrame, labels: DataFrame, prior: float = PRIOR_WORDS) -> tuple[DataFrame, set[str]]:
+    """(_q_row, _q_n, _q_score) for each of ``rows`` (_q_row, doc_id, lang, text), and the languages with trusted text."""
+    rows = rows.select("_q_row", "doc_id", F.col("lang").cast("string").alias("lang"), "text", half(F.col("doc_id")).alias("half"))
+    ids = trusted_ids(labels)
+    trusted = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(ids, F.col("doc_id") == F.col("_q_id"))
+    named = {(r["lang"], r["half"]): i for i, r in enumerate(trusted.select("lang", "half").distinct().orderBy("lang", "half").collect())}
+    nothing = rows.select("_q_row", F.lit(0).cast("long").alias("_q_n"), F.lit(None).cast("double").alias("_q_score"))
+    if not named:
+        return nothing, set()
+    number = F.element_at(F.create_map(*(F.lit(x) for (lang, h), i in named.items() for x in (f"{h}{lang}", i))), F.concat(F.col("half").cast("string"), F.col("lang")))
+    counts = materialize(count_words(trusted.select(number.alias("model"), "text")), "kn-counts")
+    filled = {r["model"] for r in counts.select("model").distinct().collect()}
+    of = choices({k: i for k, i in named.items() if i in filled})
+    if not of[0]:
+        return nothing, set()
+
+    def suited(own: dict[str, int]) -> Column:
+        known = F.try_element_at(F.create_map(*(F.lit(x) for kv in sorted(own.items()) for x in kv)), F.coalesce("lang", F.lit("")))
+        return F.when(known.isNotNull(), F.array(known)).otherwise(F.array(*(F.lit(i) for i in sorted(own.values()))))
+
+    models = F.when(F.coalesce("half", F.lit(0)) == 0, suited(of[0])).otherwise(suited(of[1]))
+    asked = rows.select(F.col("_q_row").alias("row"), "doc_id", "lang", "text", models.alias("models"))
+    costs = materialize(document_costs(asked, WordModel(counts)), "kn-scores")
+    own = rows.select("_q_row", "doc_id", "lang").where(F.col("lang").isin(sorted(of[0]))).join(ids, F.col("doc_id") == F.col("_q_id"))
+    means = {r["model"]: r["mean"] for r in costs.join(own, F.col("row") == F.col("_q_row")).groupBy("model").agg((F.sum("cost") / F.sum("n")).alias("mean")).collect()}
+    mean = F.element_at(F.create_map(*(F.lit(x) for kv in sorted(means.items()) for x in kv)), F.col("model"))
+    best = costs.groupBy("row").agg(F.max("n").alias("n"), F.min((F.col("cost") + prior * mean) / (F.col("n") + prior)).alias("score"))
+    plain = F.array_min(F.transform("models", lambda m: F.element_at(F.create_map(*(F.lit(x) for kv in sorted(means.items()) for x in kv)), m)))
+    out = asked.select(F.col("row").alias("_q_row"), plain.alias("mean")).join(best, F.col("_q_row") == F.col("row"), "left")
+    return out.select("_q_row", F.coalesce("n", F.lit(0).cast("long")).alias("_q_n"), F.coalesce("score", "mean").alias("_q_score")), set(of[0])
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row for each document (_q_row, doc_id, lang, _q_n, _q_score, _q_threshold, _q_keep), and ``docs`` with _q_row."""
+    rows = materialize(docs.withColumn("_q_row", F.monotonically_increasing_id()), "kn-rows")
+    found, languages = score_words(rows, labels)
+    scored = materialize(rows.select("_q_row", "doc_id", "lang").join(found, "_q_row"), "kn-scored")
+    limits = {lang: t for lang, t in thresholds(scored, labels).items() if lang in languages}
+    return judge(scored, limits), rows
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, all columns as they are."""
-    _, model, limits = classify(docs, labels)
-    return judge(score(docs, model), limits).where("_q_keep").select(*docs.columns)
+    judged, rows = classify(docs, labels)
+    return rows.join(judged.where("_q_keep").select("_q_row"), "_q_row").select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged, _, _ = classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+    judged, _ = classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "lang", F.col("_q_n").alias("n_symbols"), F.exp("_q_score").alias("perplexity"), F.exp("_q_threshold").alias("threshold"), F.col("_q_keep").alias("keep"))

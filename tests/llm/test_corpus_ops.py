@@ -380,6 +380,41 @@ def test_join_and_arrays_give_the_same_scores(spark):
     assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], abs=2e-3) for k in a)
 
 
+def test_quality_tells_word_salad_and_unfolded_letters(spark):
+    pick = random.Random(14)
+    # Cyrillic words, and others whose letters fall into the same classes by code % 14
+    plain = ["".join(chr(0x430 + pick.randrange(18)) for _ in range(pick.choice([3, 5, 7]))) for _ in range(60)]
+    follow = {w: pick.sample(plain, 3) for w in plain}
+
+    def told(n):
+        w = [pick.choice(plain)]
+        while len(w) < n:
+            w.append(pick.choice(follow[w[-1]]))
+        return w
+
+    good = [told(80) for _ in range(200)]
+    salad = [pick.sample(w, len(w)) for w in good[150:170]]
+    other = [["".join(chr(ord(c) + 14) for c in w) for w in g] for g in good[170:190]]
+    texts = [" ".join(w) for w in good + salad + other]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("ru"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.keep_good(docs, labels).collect()}
+    assert len(kept & set(range(200))) >= 190 and not kept & set(range(200, 240))
+
+
+def test_word_costs_are_log_probabilities(spark):
+    from keystrata.llm import word_model
+
+    texts = ["a b c a b d", "b c d a", "a a b c"]
+    counts = word_model.count_words(spark.createDataFrame([(0, t) for t in texts], "model int, text string"))
+    vocabulary = ["a", "b", "c", "d"]
+    names = [*(np.uint64(xxhash.xxh3_64_intdigest(w.encode())).astype(np.int64).item() for w in vocabulary), word_model.END, word_model.REPEAT, 99]
+    at = dict(zip(vocabulary, names, strict=False))
+    for a, b in [("a", "b"), ("b", "c"), ("d", "c")]:
+        keyed = spark.createDataFrame([(i, 0, at[a], at[b], c) for i, c in enumerate(names)], "key long, model int, a long, b long, c long")
+        assert sum(np.exp(-r["cost"]) for r in word_model.WordModel(counts).costs(keyed).collect()) == pytest.approx(1, abs=1e-5)
+
+
 # language
 
 
