@@ -1,7 +1,7 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
 Vectors become integers floor(256 x). Pivots are rows chosen by a digest of their id (a bounded number, the only fitted
-part). Every vector goes to its nearest pivot's cell. A cell's summary is its count and the largest distance r of a
+part), each of another id. Every vector goes to its nearest pivot's cell. A cell's summary is its count and the largest distance r of a
 member x from the pivot p, so any score of a query q in it is at most q.p + |q| r. The k-th best score of a query
 against the pivots, which are rows themselves, is a lower bound of its k-th best score; a query is replicated only to
 cells whose upper bound reaches it. Each cell is cut into blocks of data and of queries that a task solves with one
@@ -66,8 +66,9 @@ def scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def _pivots(vectors: DataFrame, pivots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of the rows with the smallest digests: a bounded sample, the same in every run."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+    """Distinct ids and a vector of each, those with the smallest digests: a bounded sample, the same in every run."""
+    ids = [r["vec_id"] for r in vectors.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
+    rows = vectors.where(F.col("vec_id").isin(ids)).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").collect()
     dim = max((len(r["v"]) for r in rows), default=0)
     out = np.zeros((len(rows), dim))
     for i, r in enumerate(rows):

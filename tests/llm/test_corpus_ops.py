@@ -477,3 +477,10 @@ def test_top_k_of_few_rows_and_repeated_ids(spark):
     assert got == [(0, 1, 1, 256 * 512), (0, 2, 2, 65536)]
     assert topk_search.top_k(few.where("false"), F.lit(True)).count() == 0
     assert topk_search.top_k(few.where("vec_id = 0"), F.lit(True)).count() == 0
+
+
+def test_top_k_with_an_id_repeated_among_the_pivots(spark):
+    data = [(0, [1.0, 0.0])] + [(1, [100.0, float(i)]) for i in range(8)] + [(i, [20.0 - i, 0.0]) for i in range(2, 12)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r["vec_id"]) for r in topk_search.top_k(vectors, F.col("vec_id") == 0, 5, pivots=len(data)).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
