@@ -5,7 +5,8 @@ bytes before, or ``MOST`` bytes after the last end. Where it ends depends on the
 at MOST), so a passage has the same inner chunks wherever it stands, whatever was inserted before. Chunks are named by
 a 64-bit digest; a digest that occurs in two documents or more is repeated. Repeated chunks that follow each other make
 a passage, reported from ``PASSAGE`` bytes on: random equal chunks and short common lines stay below, a passage of over
-50 words stays above. The first document (smallest id) that holds a chunk is its home; elsewhere it can be removed.
+50 words stays above, also of short words and without its first and last chunk. Texts that are shorter than that are
+reported where they equal another document's whole text. The first document (smallest id) that holds a chunk is its home; elsewhere it can be removed.
 
 Scale: digests are counted with partial sums and joined back by digest. A digest may be on a third of all rows: its
 counts are summed before the shuffle, and the join is one that adaptive execution splits. Only a document's own chunks
@@ -27,7 +28,9 @@ from pyspark.sql.window import Window
 
 from .common import table, text_slices
 
-LEAST, MOST, PASSAGE, WINDOW = 12, 512, 200, 16
+LEAST, MOST, PASSAGE, WINDOW = 12, 512, 80, 16
+#: Seed of the digests of whole texts, which never equal those of chunks.
+WHOLE_SEED = 1
 #: The gear table: a random 32-bit number for each byte, the same in every run.
 GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -57,51 +60,57 @@ def chunks(coded: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def digests(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every chunk of every text: the text's place, the digest, start and end in bytes."""
+def digests(texts: list[str | None], short: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every chunk of every text: the text's place, the digest, start and end in bytes, and whether it is a whole
+    text, which those under ``short`` bytes give beside their chunks."""
     from xxhash import xxh3_64_intdigest
 
-    rows, names, starts, ends = [], [], [], []
+    rows, names, starts, ends, whole = [], [], [], [], []
     for i, text in enumerate(texts):
         if not text:
             continue
         coded = text.encode("utf-8", "surrogatepass")
         s, e = chunks(coded)
         names.extend([xxh3_64_intdigest(coded[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+        alone = len(coded) < short
+        if alone:
+            names.append(xxh3_64_intdigest(coded, WHOLE_SEED))
+            s, e = np.append(s, 0), np.append(e, len(coded))
         rows.append(np.full(len(s), i))
         starts.append(s)
         ends.append(e)
+        whole.append(np.arange(len(s)) >= len(s) - alone)
     none = [np.zeros(0, dtype=np.int64)]
-    return np.concatenate(rows or none), np.array(names, dtype=np.uint64).view(np.int64), np.concatenate(starts or none), np.concatenate(ends or none)
+    return np.concatenate(rows or none), np.array(names, dtype=np.uint64).view(np.int64), np.concatenate(starts or none), np.concatenate(ends or none), np.concatenate(whole or [np.zeros(0, dtype=bool)])
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, start, size): a row a chunk."""
+def chunk_table(docs: DataFrame, short: int = 0) -> DataFrame:
+    """(digest, doc_id, start, size, whole): a row a chunk, and one for each whole text under ``short`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches, chars=1_000_000):
-            row, name, start, end = digests(piece.column("text").to_pylist())
+            row, name, start, end, whole = digests(piece.column("text").to_pylist(), short)
             ids = piece.column("doc_id").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(name), ids, pa.array(start, pa.int64()), pa.array((end - start).astype(np.int32))], names=["digest", "doc_id", "start", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), ids, pa.array(start, pa.int64()), pa.array((end - start).astype(np.int32)), pa.array(whole)], names=["digest", "doc_id", "start", "size", "whole"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return own.mapInArrow(run, "digest long, doc_id long, start long, size int")
+    return own.mapInArrow(run, "digest long, doc_id long, start long, size int, whole boolean")
 
 
 def passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
     """(doc_id, start, end, removable): repeated passages in bytes, and how many of their bytes have a home elsewhere."""
-    rows = chunk_table(docs)
+    rows = chunk_table(docs, least)
     repeated = rows.groupBy("digest").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last")).where("home < last").select(F.col("digest").alias("d"), "home")
-    found = rows.join(repeated, F.col("digest") == F.col("d")).select("doc_id", "start", "size", (F.col("home") < F.col("doc_id")).alias("elsewhere"))
-    in_doc = Window.partitionBy("doc_id").orderBy("start", "size")
+    found = rows.join(repeated, F.col("digest") == F.col("d")).select("doc_id", "whole", "start", "size", (F.col("home") < F.col("doc_id")).alias("elsewhere"))
+    in_doc = Window.partitionBy("doc_id", "whole").orderBy("start", "size")
     before = in_doc.rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("size")
     # rows that repeat an id give their chunks twice: a chunk that ends no later than those before adds nothing
     placed = found.withColumn("reach", F.coalesce(F.max(end).over(before), F.lit(-1).cast("long")))
     placed = placed.withColumn("run", F.sum((F.col("start") > F.col("reach")).cast("long")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
     fresh = F.greatest(F.lit(0).cast("long"), end - F.greatest("start", "reach"))
-    runs = placed.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(end).alias("end"), F.sum(F.when(F.col("elsewhere"), fresh).otherwise(F.lit(0))).cast("long").alias("removable"))
-    return runs.where(F.col("end") - F.col("start") >= least).drop("run")
+    runs = placed.groupBy("doc_id", "whole", "run").agg(F.min("start").alias("start"), F.max(end).alias("end"), F.sum(F.when(F.col("elsewhere"), fresh).otherwise(F.lit(0))).cast("long").alias("removable"))
+    return runs.where(F.col("whole") | (F.col("end") - F.col("start") >= least)).drop("run", "whole")
 
 
 def repeated_documents(docs: DataFrame, least: int = PASSAGE) -> DataFrame:

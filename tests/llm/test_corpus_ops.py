@@ -299,6 +299,17 @@ def test_passages_are_found_wherever_they_stand(spark):
     assert substring_dedup.repeated_documents(same).count() == 0
 
 
+def test_passages_of_short_words_and_short_equal_texts(spark):
+    pick = random.Random(16)
+    shared = [" ".join("".join(pick.choice("etaoinshrdlu") for _ in range(pick.choice([2, 3, 4]))) for _ in range(51)) for _ in range(60)]
+    texts = [f"{prose(pick, 30)} {s} {prose(pick, 30)}" for s in shared for _ in range(2)]
+    found = {r["doc_id"] for r in substring_dedup.repeated_documents(corpus(spark, texts)).collect()}
+    assert len(found) >= 0.95 * len(texts)
+    short = ["Just this.", "Just this.", "Just this. And more of it.", "Alone.", "Just this."]
+    got = {r["doc_id"]: (r["n_passages"], r["repeated_bytes"], r["removable_bytes"]) for r in substring_dedup.repeated_documents(corpus(spark, short)).collect()}
+    assert got == {0: (1, 10, 0), 1: (1, 10, 10), 4: (1, 10, 10)}
+
+
 def test_chunks_cover_the_text_and_move_with_it():
     pick = random.Random(8)
     text = prose(pick, 500).encode()
