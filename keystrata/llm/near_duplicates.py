@@ -1,12 +1,12 @@
-"""Near-duplicate groups of documents: SimHash candidates, verified by word shingles.
+"""Near-duplicate groups of documents: candidates by minima of word shingles and SimHash, verified by word shingles.
 
-Documents with the same words are brought together first. Each distinct text has a SimHash of its two-word shingles;
-texts at most ``RADIUS`` bits apart that share a fuzzy key (see ``golay``) are candidates; a candidate is a link if the
-sets of their five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more. Linked texts make groups.
+Documents with the same words are brought together first. Each distinct text has ``BANDS`` keys, each of the minima of
+``ROWS`` hashes over its five-word shingles: texts with a Jaccard similarity of s share a key with a probability of
+1 - (1 - s**ROWS)**BANDS, which is above 0.9999 for ``SIMILARITY`` and more, wherever they differ. Texts that share one
+are candidates, as are those whose SimHashes of two-word shingles are at most ``RADIUS`` bits apart and share a fuzzy key
+(see ``golay``). A candidate is a link if the sets of five-word shingles have that similarity. Linked texts make groups.
 
-Candidates are all of a key's close pairs where the key has few rows, and a spanning forest from the row nearest the
-majority where it has many, so large groups of near copies cost a few candidates a member. Texts are shuffled twice,
-once for the shingles of candidates and once for the result; nothing is broadcast or collected.
+Candidates are all pairs of a key with few rows, and in a key with many those with its first row. Nothing is broadcast or collected.
 
 Defined results: null text and text without words are one text (they are copies of each other); documents with a null
 id count as one per text; of a group the document with the smallest id stays, of repeated rows of it one; an empty
@@ -25,9 +25,12 @@ from pyspark.sql import types as T
 
 from .common import materialize, text_slices
 from .components import components
-from .simhash import fingerprints, fuzzy_links, hashes, words
+from .simhash import SMALL_RUN, fingerprints, fuzzy_links, hashes, words
 
 RADIUS, FEATURE_WORDS, SHINGLE_WORDS, SIMILARITY = 8, 2, 5, 0.8
+#: Keys of a text and the minima in each; the factors of their hashes, the same in every run.
+BANDS, ROWS = 24, 5
+FACTORS = np.random.default_rng(21).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def text_names(texts: list[str | None]) -> np.ndarray:
@@ -62,6 +65,24 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema).withColumn("_nd_id", F.coalesce(F.col("doc_id").cast("long"), F.col("_nd_text")))
 
 
+def band_keys(texts: list[str | None]) -> np.ndarray:
+    """A row of ``BANDS`` keys for each text; a text without words has the keys of none."""
+    flat, counts = hashes(texts, SHINGLE_WORDS)
+    flat = flat ^ (flat >> np.uint64(32))
+    least = np.zeros((len(texts), BANDS * ROWS), dtype=np.uint64)
+    some = np.nonzero(counts)[0]
+    if len(some):
+        starts = (np.cumsum(counts) - counts)[some]
+        for i, factor in enumerate(FACTORS):
+            # the high half of the product depends on all bits; its order is that of a random hash
+            least[some, i] = np.minimum.reduceat((flat * factor) >> np.uint64(16), starts)
+    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(texts), axis=0)
+    for row in range(ROWS):
+        keys = (keys ^ least[:, row::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
 def candidates(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """Distinct texts (node, fp, first) and candidate links (a, b) between them."""
 
@@ -69,12 +90,20 @@ def candidates(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFr
         for piece in text_slices(batches, chars=2_000_000):
             texts = piece.column("text").to_pylist()
             fp = fingerprints(*hashes(texts, FEATURE_WORDS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(text_names(texts)), pa.array(fp)], names=["doc_id", "node", "fp"])
+            keys = pa.array(list(band_keys(texts)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(text_names(texts)), pa.array(fp), keys], names=["doc_id", "node", "fp", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, fp long")
-    nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.coalesce("doc_id", "node")).alias("first"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, fp long, keys array<long>")
+    nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.coalesce("doc_id", "node")).alias("first"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "texts")
-    return nodes, materialize(fuzzy_links(nodes, radius, all_pairs=True), "text-candidates")
+    spread = nodes.select("node", F.explode("keys").alias("key"))
+    many = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").withColumnRenamed("key", "k")
+    shared = materialize(spread.join(many, F.col("key") == F.col("k")).select("key", "node", "n", "hub"), "text-keys")
+    few = shared.where(F.col("n") <= SMALL_RUN)
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    stars = shared.where((F.col("n") > SMALL_RUN) & (F.col("hub") < F.col("node"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = fuzzy_links(nodes.select("node", "fp"), radius, all_pairs=True).unionByName(pairs).unionByName(stars).distinct()
+    return nodes.drop("keys"), materialize(links, "text-candidates")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -113,8 +142,8 @@ def named_ids(docs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """(node, keeper): for each group, the text and the id of the document that stays."""
     nodes, links = candidates(docs)
-    roots = components(verified(docs, nodes, links), "a", "b", "text-links").withColumnRenamed("node", "n")
-    placed = nodes.join(roots, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    roots = components(verified(docs, nodes, links), "a", "b", "text-links")
+    placed = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     keepers = placed.groupBy("root").agg(F.min(F.struct("first", "node")).alias("k"))
     return keepers.select(F.col("k.node").alias("node"), F.col("k.first").alias("keeper"))
 

@@ -214,6 +214,21 @@ def test_near_duplicates(spark):
     assert near_duplicates.drop_near_duplicates(docs.where("false")).count() == 0
 
 
+def test_near_duplicates_with_text_appended_or_a_block_replaced(spark):
+    pick = random.Random(17)
+    vocabulary = [f"{a}{b}" for a in WORDS for b in WORDS]
+    drawn = lambda n: [pick.choice(vocabulary) for _ in range(n)]
+    texts = []
+    for i in range(60):
+        base = drawn(300)
+        texts += [base, base + drawn(66) if i % 2 else base[:140] + drawn(24) + base[164:]]
+    docs = corpus(spark, [" ".join(t) for t in texts])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    like = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert all(0.8 <= x <= 0.87 for x in like)
+    assert {r["doc_id"] for r in near_duplicates.drop_near_duplicates(docs).collect()} == set(range(0, 120, 2))
+
+
 # decontamination
 
 
