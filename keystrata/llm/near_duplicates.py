@@ -6,7 +6,10 @@ Documents with the same words are brought together first. Each distinct text has
 are candidates, as are those whose SimHashes of two-word shingles are at most ``RADIUS`` bits apart and share a fuzzy key
 (see ``golay``). A candidate is a link if the sets of five-word shingles have that similarity. Linked texts make groups.
 
-Candidates are all pairs of a key with few rows, and in a key with many those with its first row. Nothing is broadcast or collected.
+Candidates are all pairs of a key with few rows, and in a key with many those with its first row. Then, while new links
+appear, keys with many rows whose texts are not one group yet are taken up again: a text of each group but the largest
+is tried with all texts of the others. So large groups of near copies cost a few candidates a member, and a candidate
+that fails hides no other. Nothing is broadcast or collected.
 
 Defined results: null text and text without words are one text (they are copies of each other); documents with a null
 id count as one per text; of a group the document with the smallest id stays, of repeated rows of it one; an empty
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import materialize, text_slices
 from .components import components
@@ -83,8 +87,8 @@ def band_keys(texts: list[str | None]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def candidates(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts (node, fp, first) and candidate links (a, b) between them."""
+def candidates(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct texts (node, fp, first), the first candidate links (a, b), and (key, node, n) of keys with n > 1 texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches, chars=2_000_000):
@@ -103,7 +107,17 @@ def candidates(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFr
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     stars = shared.where((F.col("n") > SMALL_RUN) & (F.col("hub") < F.col("node"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = fuzzy_links(nodes.select("node", "fp"), radius, all_pairs=True).unionByName(pairs).unionByName(stars).distinct()
-    return nodes.drop("keys"), materialize(links, "text-candidates")
+    return nodes.drop("keys"), materialize(links, "text-candidates"), shared.where(F.col("n") > SMALL_RUN).select("key", "node")
+
+
+def further(keys: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Candidates in large keys that hold several groups: a text of each but the largest, with all texts of the others."""
+    placed = keys.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
+    place = Window.partitionBy("key").orderBy(F.desc("size"), "root")
+    pivots = parts.withColumn("place", F.row_number().over(place)).where("place > 1").select("key", "pivot", F.col("root").alias("pivot_root"))
+    found = placed.join(pivots, "key").where("root <> pivot_root")
+    return found.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -141,8 +155,20 @@ def named_ids(docs: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """(node, keeper): for each group, the text and the id of the document that stays."""
-    nodes, links = candidates(docs)
-    roots = components(verified(docs, nodes, links), "a", "b", "text-links")
+    nodes, links, keys = candidates(docs)
+    good = materialize(verified(docs, nodes, links), "text-links")
+    roots = materialize(components(good, "a", "b", "text-links"), "text-roots")
+    turn = 0
+    while True:
+        turn += 1
+        fresh = materialize(further(keys, roots, turn).join(links, ["a", "b"], "left_anti"), "text-candidates")
+        if fresh.isEmpty():
+            break
+        new = materialize(verified(docs, nodes, fresh), "text-links")
+        if new.isEmpty():
+            break
+        links, good = links.unionByName(fresh), good.unionByName(new)
+        roots = materialize(components(good, "a", "b", "text-links"), "text-roots")
     placed = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     keepers = placed.groupBy("root").agg(F.min(F.struct("first", "node")).alias("k"))
     return keepers.select(F.col("k.node").alias("node"), F.col("k.first").alias("keeper"))

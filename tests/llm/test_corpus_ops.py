@@ -229,6 +229,20 @@ def test_near_duplicates_with_text_appended_or_a_block_replaced(spark):
     assert {r["doc_id"] for r in near_duplicates.drop_near_duplicates(docs).collect()} == set(range(0, 120, 2))
 
 
+def test_near_duplicates_of_a_large_family(spark):
+    pick = random.Random(18)
+    texts = []
+    for _ in range(2):
+        base = prose(pick, 200).split()
+        texts.append(" ".join(base))
+        for _ in range(150):
+            w = list(base)
+            for at in pick.sample(range(200), 4):
+                w[at] = pick.choice(WORDS) + "q"
+            texts.append(" ".join(w))
+    assert {r["doc_id"] for r in near_duplicates.drop_near_duplicates(corpus(spark, texts)).collect()} == {0, 151}
+
+
 # decontamination
 
 
