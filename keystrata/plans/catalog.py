@@ -347,11 +347,11 @@ def compaction_tombstones_kept(spark, sf_dir):
 
 @query()
 def bloom_candidates(spark, sf_dir):
-    """For each segment, keys of another table's users that its filter can't exclude, and how many are false."""
+    """For each segment, keys of all customers that its filter can't exclude, and how many are false."""
     size = FilterSize.of(SEGMENT_ROWS * 10, 0.01)
     rows = segmented(spark, sf_dir).select("segment", "key")
     bits = rows.select("segment", F.explode(filter_positions(F.col("segment"), F.col("key"), size)).alias("bit")).distinct()
-    probes = rows.select("segment").distinct().select("segment", F.explode(F.sequence(F.lit(-1), F.lit(200))).alias("id"))
+    probes = rows.select("segment").distinct().crossJoin(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).where("id IS NOT NULL").distinct())
     probes = probes.select("segment", F.concat(F.lit("user:"), F.col("id")).alias("key"))
     asked = probes.select("segment", "key", F.explode(F.array_distinct(filter_positions(F.col("segment"), F.col("key"), size))).alias("bit"))
     found = asked.join(bits.withColumn("set", F.lit(1)), ["segment", "bit"], "left").groupBy("segment", "key").agg(F.count("*").alias("k"), F.count("set").alias("hits"))

@@ -51,6 +51,15 @@ def test_filters_have_no_false_negatives(spark):
     assert {r["segment"]: r["held"] for r in found} == keys
 
 
+def test_filters_are_probed_with_all_customers(spark, tmp_path):
+    rows = [(i, 300 + i % 400) for i in range(1500)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long").selectExpr("event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(2000).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    found = {r["segment"]: r for r in catalog.bloom_candidates(spark, str(tmp_path)).collect()}
+    assert {s: r["held"] for s, r in found.items()} == {0: 400, 1: 400}
+
+
 def test_stream_in_several_batches_equals_batch(spark, tmp_path):
     log = [(f"k{i % 7}", f"v{i}", 0, i % 5 == 0, i) for i in range(60)]
     schema = "key string, value string, expiry_ns long, is_deleted boolean, seq long"
