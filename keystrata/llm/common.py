@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch that a Python operator handles at once.
 SLICE = 512
 
@@ -25,9 +27,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Pieces of at most SLICE rows and about ``chars`` bytes of one string column; a single longer text comes alone."""
-    for piece in slices(batches):
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = 4_000_000, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most ``rows`` rows and about ``chars`` bytes of one string column; a single longer text comes alone."""
+    for piece in slices(batches, rows):
         sizes = pc.fill_null(pc.binary_length(piece.column(column)), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
@@ -40,14 +42,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or where that is unset the context's
+    checkpoint folder, or with a local master (all in one process) a temporary one; else an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="keystrata-"))
         found = context.getCheckpointDir()
-        if not found:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="keystrata-"))
-            found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -60,7 +63,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and rereads it: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the shuffles of this write go with its end, not with some later collection of garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,231 +1,117 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, perplexity, and language quantiles.
 
-Trusted are the documents that ``labels`` calls good and not toxic. All of them are counted, as word trigrams that grow
-with the corpus (see ``word_model``), and every language is scored by the join of its documents' trigrams with the
-counts. A document's score is its mean negative log-probability a word under its language's model of the half of the
-trusted documents that it is not in, drawn to the mean of the trusted by ``PRIOR_WORDS`` words so that short texts need
-strong evidence. A document is rejected if its score is above the ``QUANTILE`` of the trusted documents of its language.
-
-Scale: all tables are sharded by trigram, context, word or row; what is collected is one row a model (two a language).
-Trigrams of a task are summed before the shuffle, and joins are ones that adaptive execution splits.
+Trusted are the documents that ``labels`` calls good and not toxic. All of them are counted, as pairs of words that grow
+with the corpus, and every document is scored by a sharded join of its keys with the counts (see ``word_model``). Each
+language has two models, one from either half of its trusted documents (by a digest of the id). A document's score is
+its mean negative log-probability a word under its language's model of the half of the trusted documents that it is not
+in, drawn to the mean of the trusted by ``PRIOR_WORDS`` words so that short texts need strong evidence. A document is
+rejected if its score is above the ``QUANTILE`` of the trusted documents of its language.
+
+Scale: texts are dealt once, to meet the labels; only trusted ones are written. What the joins move are packed keys, and
+rows of a few numbers a document; what is collected is a row a language and the heaviest keys, of bounded number.
+Documents are known by two digests of half, language and text, so copies are scored alike and joins on them and the id
+are dealt evenly.
 
 Defined results: null or empty text has 0 words and is kept at the language's mean; a document
 whose language is null or has no trusted text is scored by the model that suits it best (score: the lowest), against
 the most lenient threshold; without any trusted text all documents are kept, scores null; repeated rows give repeated
-results; a document labelled twice is trusted if no label speaks against it. Other columns are carried.
-
-``fit``, ``score`` and ``score_by_join`` are the earlier model of folded character trigrams; no query uses them.
+results; a document labelled twice is trusted if no label speaks against it. Other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialize, table, text_slices
-from .kneser_ney import SYMBOLS, Dense, probabilities, trigrams
-from .word_model import WordModel, count_words, document_costs, half
+from .common import forget, materialize, table
+from .word_model import WordModel, costs
 
-#: The quantile of trusted scores that bounds a language; symbols of prior; languages with a model as an array.
-QUANTILE, PRIOR, MODELS = 0.99, 50.0, 32
-#: Words of prior: about as much text as ``PRIOR`` symbols.
-PRIOR_WORDS = 10.0
+#: The quantile of trusted scores that bounds a language; words of prior.
+QUANTILE, PRIOR_WORDS = 0.99, 10.0
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids of trusted documents; the table grows with the corpus, so it is always joined by sorting, at every size."""
     each = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("bad"))
-    return each.where((F.col("good") == 1) & (F.col("bad") == 0)).select(F.col("doc_id").alias("_q_id")).hint("merge")
-
-
-def count_trigrams(texts: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all rows of (lang, text); each task sums its own first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, n in sums.items():
-                at = np.nonzero(n)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "gram", "n"])
-            sums.clear()
-
-        for piece in text_slices(batches):
-            langs, text = piece.column("lang").to_pylist(), piece.column("text").to_pylist()
-            gram, doc = trigrams(text)
-            names = sorted(set(langs))
-            of = np.array([names.index(v) for v in langs], dtype=np.int64)[doc]
-            for i, lang in enumerate(names):
-                if lang not in sums and len(sums) >= MODELS:
-                    yield from flush()
-                n = np.bincount(gram[of == i], minlength=SYMBOLS**3)
-                sums[lang] = sums[lang] + n if lang in sums else n
-        yield from flush()
-
-    found = texts.mapInArrow(run, "lang string, gram int, n long")
-    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Model:
-    """Probability tables of all languages, their mean costs, and the arrays of the commonest."""
-
-    tables: tuple[DataFrame, DataFrame, DataFrame]
-    means: dict[str, float]
-    arrays: dict[str, np.ndarray]
-
-    @property
-    def others(self) -> list[str]:
-        """Languages without an array."""
-        return sorted(self.means.keys() - self.arrays.keys())
-
-
-def fit(docs: DataFrame, labels: DataFrame, models: int = MODELS) -> Model:
-    trusted = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    trusted = trusted.join(trusted_ids(labels), F.col("doc_id") == F.col("_q_id")).select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = materialize(count_trigrams(trusted), "kn-counts")
-    seen, contexts, pairs = (materialize(t, f"kn-{name}") for t, name in zip(probabilities(counts), ("seen", "contexts", "pairs"), strict=True))
-    totals = seen.groupBy("lang").agg(F.sum("n").alias("n"), (-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("mean")).orderBy(F.desc("n"), "lang").collect()
-    near = [r["lang"] for r in totals[:models]]
-    found = [t.where(F.col("lang").isin(near)).toArrow() for t in (seen, contexts, pairs)] if near else []
-    arrays = {}
-    for lang in near:
-        own = [t.filter(pc.equal(t.column("lang"), lang)) for t in found]
-        col = lambda i, c, own=own: own[i].column(c).to_numpy()
-        arrays[lang] = Dense(col(0, "gram"), col(0, "logp"), col(1, "context"), col(1, "gamma"), col(2, "pair"), col(2, "p")).cost
-    return Model((seen, contexts, pairs), {r["lang"]: r["mean"] for r in totals}, arrays)
-
-
-def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> dict[str, float]:
-    """The quantile of the trusted documents' scores, for each language; over all of them."""
-    own = scored.select("doc_id", F.col("lang").cast("string").alias("lang"), "_q_score").join(trusted_ids(labels), F.col("doc_id") == F.col("_q_id"))
-    found = own.where("lang IS NOT NULL").groupBy("lang").agg(F.percentile_approx("_q_score", quantile, 100_000).alias("t")).collect()
-    return {r["lang"]: r["t"] for r in found if r["t"] is not None}
-
-
-def score(docs: DataFrame, model: Model, prior: float = PRIOR) -> DataFrame:
-    """``docs`` (with lang and text) with _q_n, the symbols scored, and _q_score, the drawn mean cost."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.arrays)
-    means = model.means
-    fields = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_slices(batches):
-            langs = [None if v is None else str(v) for v in piece.column("lang").to_pylist()]
-            gram, doc = trigrams(piece.column("text").to_pylist())
-            n = np.bincount(doc, minlength=len(langs))
-            best = np.full(len(langs), np.nan)
-            for lang, cost in shared.value.items():
-                wanted = np.array([v == lang or v not in means for v in langs])
-                if wanted.any():
-                    mine = wanted[doc]
-                    total = np.bincount(doc[mine], weights=cost[gram[mine]], minlength=len(langs))
-                    drawn = (total + prior * means[lang]) / (n + prior)
-                    best = np.where(wanted, np.fmin(best, drawn), best)
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in fields), pa.array(n, pa.int64()), pa.array(best, pa.float64(), from_pandas=True)], names=[*fields, "_q_n", "_q_score"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_q_n", T.LongType()), T.StructField("_q_score", T.DoubleType())])
-    near = docs.where(~F.coalesce(F.col("lang").cast("string").isin(model.others), F.lit(False))) if model.others else docs
-    out = near.mapInArrow(run, schema)
-    if model.others:
-        out = out.unionByName(score_by_join(docs.where(F.col("lang").cast("string").isin(model.others)), model, prior))
-    return out
-
-
-def score_by_join(docs: DataFrame, model: Model, prior: float = PRIOR) -> DataFrame:
-    """The same scores from a join of documents' trigram counts with the probability tables."""
-    seen, contexts, pairs = model.tables[0].drop("n"), *model.tables[1:]
-    own = materialize(docs.withColumn("_q_row", F.monotonically_increasing_id()), "kn-rows")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_slices(batches):
-            gram, doc = trigrams(piece.column("text").to_pylist())
-            key, n = np.unique(doc * SYMBOLS**3 + gram, return_counts=True)
-            row = pa.array(key // SYMBOLS**3)
-            yield pa.RecordBatch.from_arrays([piece.column("_q_row").take(row), piece.column("lang").take(row), pa.array(key % SYMBOLS**3, pa.int32()), pa.array(n, pa.int64())], names=["_q_row", "lang", "gram", "n"])
-
-    grams = own.select("_q_row", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "_q_row long, lang string, gram int, n long")
-    grams = grams.join(seen, ["lang", "gram"], "left")
-    grams = grams.withColumns({"context": F.floor(F.col("gram") / SYMBOLS).cast("int"), "pair": F.col("gram") % (SYMBOLS * SYMBOLS)})
-    grams = grams.join(contexts, ["lang", "context"], "left").join(pairs, ["lang", "pair"], "left")
-    logp = F.coalesce("logp", F.log(F.coalesce("gamma", F.lit(1.0)) * F.coalesce("p", F.lit(1.0 / SYMBOLS)) + 1e-12))
-    sums = grams.groupBy("_q_row").agg(F.sum("n").alias("_q_n"), (-F.sum(F.col("n") * logp)).alias("_q_cost"))
-    mean = F.element_at(F.create_map(*(F.lit(x) for kv in model.means.items() for x in kv)), F.col("lang").cast("string"))
-    n, cost = F.coalesce("_q_n", F.lit(0)), F.coalesce("_q_cost", F.lit(0.0))
-    out = own.join(sums, "_q_row", "left").drop("_q_row")
-    return out.withColumns({"_q_score": (cost + prior * mean) / (n + prior), "_q_n": n}).drop("_q_cost").select(*docs.columns, "_q_n", "_q_score")
-
-
-def judge(scored: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Adds _q_threshold and _q_keep."""
-    if not limits:
-        return scored.withColumns({"_q_threshold": F.lit(None).cast("double"), "_q_keep": F.lit(True)})
-    own = F.create_map(*(F.lit(x) for kv in sorted(limits.items()) for x in kv))
-    limit = F.coalesce(F.try_element_at(own, F.coalesce(F.col("lang").cast("string"), F.lit(""))), F.lit(max(limits.values())))
-    return scored.withColumn("_q_threshold", limit).withColumn("_q_keep", F.coalesce(F.col("_q_score") <= F.col("_q_threshold"), F.lit(True)) | (F.col("_q_n") == 0))
-
-
-def choices(models: dict[tuple[str, int], int]) -> list[dict[str, int]]:
+    return each.where((F.col("good") == 1) & (F.col("bad") == 0)).select(F.col("doc_id").alias("trusted_id")).hint("merge")
+
+
+def half(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(2)).cast("int")
+
+
+def text_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two digests of what a document's score depends on: its half, language and text."""
+    lang, text = docs["lang"].cast("string"), docs["text"]
+    parts = (half(docs["doc_id"]), lang.isNull(), lang, text.isNull(), text)
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(k1, k2, doc_id, lang, half, text)"""
+    k1, k2 = text_keys(docs)
+    return docs.select(k1.alias("k1"), k2.alias("k2"), "doc_id", F.col("lang").cast("string").alias("lang"), half(F.col("doc_id")).alias("half"), "text")
+
+
+def choices(halves: dict[str, dict[int, int]]) -> list[dict[str, int]]:
     """For documents of either half, each language's model: that of the other half, or the only one there is."""
-    langs = {lang for lang, _ in models}
-    return [{lang: models.get((lang, 1 - own), models.get((lang, own))) for lang in langs} for own in (0, 1)]
-
-
-def score_words(rows: DataFrame, labels: DataFrame, prior: float = PRIOR_WORDS) -> tuple[DataFrame, set[str]]:
-    """(_q_row, _q_n, _q_score) for each of ``rows`` (_q_row, doc_id, lang, text), and the languages with trusted text."""
-    rows = rows.select("_q_row", "doc_id", F.col("lang").cast("string").alias("lang"), "text", half(F.col("doc_id")).alias("half"))
-    ids = trusted_ids(labels)
-    trusted = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(ids, F.col("doc_id") == F.col("_q_id"))
-    named = {(r["lang"], r["half"]): i for i, r in enumerate(trusted.select("lang", "half").distinct().orderBy("lang", "half").collect())}
-    nothing = rows.select("_q_row", F.lit(0).cast("long").alias("_q_n"), F.lit(None).cast("double").alias("_q_score"))
-    if not named:
-        return nothing, set()
-    number = F.element_at(F.create_map(*(F.lit(x) for (lang, h), i in named.items() for x in (f"{h}{lang}", i))), F.concat(F.col("half").cast("string"), F.col("lang")))
-    counts = materialize(count_words(trusted.select(number.alias("model"), "text")), "kn-counts")
-    filled = {r["model"] for r in counts.select("model").distinct().collect()}
-    of = choices({k: i for k, i in named.items() if i in filled})
-    if not of[0]:
-        return nothing, set()
-
-    def suited(own: dict[str, int]) -> Column:
-        known = F.try_element_at(F.create_map(*(F.lit(x) for kv in sorted(own.items()) for x in kv)), F.coalesce("lang", F.lit("")))
-        return F.when(known.isNotNull(), F.array(known)).otherwise(F.array(*(F.lit(i) for i in sorted(own.values()))))
-
-    models = F.when(F.coalesce("half", F.lit(0)) == 0, suited(of[0])).otherwise(suited(of[1]))
-    asked = rows.select(F.col("_q_row").alias("row"), "doc_id", "lang", "text", models.alias("models"))
-    costs = materialize(document_costs(asked, WordModel(counts)), "kn-scores")
-    own = rows.select("_q_row", "doc_id", "lang").where(F.col("lang").isin(sorted(of[0]))).join(ids, F.col("doc_id") == F.col("_q_id"))
-    means = {r["model"]: r["mean"] for r in costs.join(own, F.col("row") == F.col("_q_row")).groupBy("model").agg((F.sum("cost") / F.sum("n")).alias("mean")).collect()}
-    mean = F.element_at(F.create_map(*(F.lit(x) for kv in sorted(means.items()) for x in kv)), F.col("model"))
-    best = costs.groupBy("row").agg(F.max("n").alias("n"), F.min((F.col("cost") + prior * mean) / (F.col("n") + prior)).alias("score"))
-    plain = F.array_min(F.transform("models", lambda m: F.element_at(F.create_map(*(F.lit(x) for kv in sorted(means.items()) for x in kv)), m)))
-    out = asked.select(F.col("row").alias("_q_row"), plain.alias("mean")).join(best, F.col("_q_row") == F.col("row"), "left")
-    return out.select("_q_row", F.coalesce("n", F.lit(0).cast("long")).alias("_q_n"), F.coalesce("score", "mean").alias("_q_score")), set(of[0])
-
-
-def classify(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A row for each document (_q_row, doc_id, lang, _q_n, _q_score, _q_threshold, _q_keep), and ``docs`` with _q_row."""
-    rows = materialize(docs.withColumn("_q_row", F.monotonically_increasing_id()), "kn-rows")
-    found, languages = score_words(rows, labels)
-    scored = materialize(rows.select("_q_row", "doc_id", "lang").join(found, "_q_row"), "kn-scored")
-    limits = {lang: t for lang, t in thresholds(scored, labels).items() if lang in languages}
-    return judge(scored, limits), rows
+    return [{lang: models.get(1 - own, models.get(own)) for lang, models in halves.items()} for own in (0, 1)]
+
+
+def score_words(docs: DataFrame, labels: DataFrame, prior: float = PRIOR_WORDS) -> tuple[DataFrame, DataFrame] | None:
+    """(k1, k2, n, score) for each different text of ``docs``, and (k1, k2, doc_id, lang) of the trusted documents of
+    languages with a model; None without trusted text."""
+    rows = keyed(docs)
+    trusted = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(trusted_ids(labels), F.col("doc_id") == F.col("trusted_id"))
+    trusted = materialize(trusted.select("k1", "k2", "doc_id", "lang", F.xxhash64("lang", "half").alias("model"), "half", "text"), "kn-trusted")
+    model = WordModel(trusted)
+    halves: dict[str, dict[int, int]] = {}
+    for r in trusted.select("lang", "half", "model").distinct().join(F.broadcast(model.unseen), "model").collect():
+        halves.setdefault(r["lang"], {})[r["half"]] = r["model"]
+    if not halves:
+        return None
+    of = choices(halves)
+    every = [sorted(set(own.values())) for own in of]
+
+    def models_of(lang: str | None, own: int | None) -> list[int]:
+        known = of[own or 0].get(lang)
+        return every[own or 0] if known is None else [known]
+
+    own = materialize(trusted.select("k1", "k2", "doc_id", "lang"), "kn-own")
+    forget(trusted)
+    sums = costs(rows.select("k1", "k2", "lang", "half", "text"), model, models_of)
+    sums = sums.join(F.broadcast(model.unseen), "model").select("k1", "k2", "model", "n", (F.col("cost") + F.col("n") * F.col("unseen")).alias("cost"))
+    sums = materialize(sums, "kn-sums")
+    model.forget()
+    means = sums.join(own, ["k1", "k2"]).groupBy("model").agg((F.sum("cost") / F.sum("n")).alias("mean"))
+    # models without a scored trusted document (all of a language's are in one half) take their own text's
+    scored = sums.join(F.broadcast(means), "model").groupBy("k1", "k2").agg(F.max("n").alias("n"), F.min((F.col("cost") + prior * F.col("mean")) / (F.col("n") + prior)).alias("score"))
+    return materialize(scored, "kn-scores"), own
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(k1, k2, doc_id, lang, n, score, threshold, keep): a row for each row of ``docs``."""
+    found = score_words(docs, labels)
+    rows = keyed(docs).drop("half", "text")
+    if found is None:
+        nothing = F.lit(None).cast("double")
+        return rows.select("*", F.lit(0).cast("long").alias("n"), nothing.alias("score"), nothing.alias("threshold"), F.lit(True).alias("keep"))
+    scores, own = found
+    limits = own.join(scores, ["k1", "k2"]).groupBy("lang").agg(F.percentile_approx("score", quantile, 100_000).alias("limit"))
+    limits = materialize(limits.where("limit IS NOT NULL").withColumnRenamed("lang", "of"), "kn-limits")
+    lenient = limits.agg(F.max("limit")).first()[0]
+    scored = rows.join(scores.hint("merge"), ["k1", "k2"], "left").join(limits, F.col("lang") == F.col("of"), "left")
+    scored = scored.withColumn("threshold", F.coalesce("limit", F.lit(lenient).cast("double"))).withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return scored.select("k1", "k2", "doc_id", "lang", "n", "score", "threshold", (F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)) | (F.col("n") == 0)).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, all columns as they are."""
-    judged, rows = classify(docs, labels)
-    return rows.join(judged.where("_q_keep").select("_q_row"), "_q_row").select(*docs.columns)
+    kept = materialize(classify(docs.select("doc_id", "lang", "text"), labels).where("keep").select("k1", "k2", "doc_id").distinct(), "kn-kept")
+    k1, k2 = text_keys(docs)
+    return docs.join(kept.hint("merge"), k1.eqNullSafe(kept["k1"]) & k2.eqNullSafe(kept["k2"]) & docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged, _ = classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "lang", F.col("_q_n").alias("n_symbols"), F.exp("_q_score").alias("perplexity"), F.exp("_q_threshold").alias("threshold"), F.col("_q_keep").alias("keep"))
+    judged = classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", F.col("n").alias("n_symbols"), F.exp("score").alias("perplexity"), F.exp("threshold").alias("threshold"), "keep")
