@@ -21,6 +21,7 @@ Keys have 50 bits of a digest. Of 10**12 keys in a model, one in a thousand then
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -35,45 +36,84 @@ from .common import forget, materialize, text_slices
 
 #: Characters of scripts written without spaces: Thai to Tibetan, Burmese, Khmer, kana, Han and their extensions.
 ALONE = "฀-࿿က-႟ក-៿⺀-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
-WORD = re.compile(f"[{ALONE}]|[^\\W{ALONE}]+|[^\\w\\s{ALONE}]+")
+SPACE, LETTER, MARK, SINGLE = range(4)
+#: Characters that are cut into words at once.
+CHUNK = 1 << 20
 #: Names that aren't digests; the repeats of one word have REPEAT and the numbers after it.
 BEGIN, END, REPEAT = 1, 2, 3
-#: Words whose digests a task remembers.
-HELD = 500_000
-#: Parts that counting and looking up are done in; share of all counts from which a key is looked up at the texts.
-COUNT_ROUNDS, ROUNDS, HEAVY = 4, 2, 1 << 17
+#: Parts that counting, joining values and looking up are done in; share of all counts from which a key is looked up at
+#: the texts; symbols of a slice at most (but for a longer text).
+COUNT_ROUNDS, VALUE_ROUNDS, ROUNDS, HEAVY, SLICE_SYMBOLS = 2, 4, 2, 1 << 20, 4_000_000
 #: Bits of a key; of a text's place in its slice; values are kept in steps of 1 / STEPS; keys of a range at most.
 KEY_BITS, PLACE_BITS, STEPS, RANGE_KEYS = 50, 12, 1024, 16_000_000
 #: The primes of XXH64.
 P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
 
 
-def word_names(texts: list[str | None], held: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' words as digests, each text after a begin and before an end, and each text's length; 0 without words."""
-    from xxhash import xxh3_64_intdigest
-
-    flat, counts = [], []
-    for text in texts:
-        found = WORD.findall(text or "")
-        if not found:
-            counts.append(0)
-            continue
-        if len(held) > HELD:
-            held.clear()
-        before, again, names = None, 0, [BEGIN]
-        for w in found:
-            if w == before:
-                names.append(REPEAT + again.bit_length())
-                again += 1
-                continue
-            before, again, name = w, 0, held.get(w)
-            if name is None:
-                name = held[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            names.append(name)
-        names.append(END)
-        flat.append(np.array(names, dtype=np.uint64))
-        counts.append(len(names))
-    return np.concatenate(flat) if flat else np.zeros(0, dtype=np.uint64), np.array(counts, dtype=np.int64)
+@functools.cache
+def classes() -> np.ndarray:
+    """Of every character: white space, letter or digit, other mark, or a word by itself."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.full(len(every), MARK, dtype=np.uint8)
+    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\w+"), (SINGLE, f"[{ALONE}]+")):
+        for m in re.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+@functools.cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and of its inverse."""
+    return tuple(np.cumprod(np.full(CHUNK, p % 2**64, dtype=np.uint64)) for p in (P1, pow(P1, -1, 2**64)))
+
+
+def words_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in an array of characters, and their digests: polynomials of the characters, mixed."""
+    kind = classes()[code]
+    change = np.empty(len(code), dtype=bool)
+    change[:1] = True
+    change[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == SINGLE)
+    edge = np.append(np.nonzero(change)[0], len(code))
+    word = kind[edge[:-1]] != SPACE
+    start, end = edge[:-1][word], edge[1:][word]
+    up, down = powers()
+    sums = np.cumsum((code.astype(np.uint64) + np.uint64(1)) * up[: len(code)])
+    before = np.where(start > 0, sums[start - 1], np.uint64(0))
+    return start, digest((sums[end - 1] - before) * down[start], (end - start).astype(np.uint64))
+
+
+def word_names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' words as digests, each text after a begin and before an end, and each text's length; 0 without words.
+    What has more than CHUNK characters without white space is cut there."""
+    joined = "\n".join([t or "" for t in texts])
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    starts, names, at = [], [], 0
+    while at < len(code):
+        upto = min(len(code), at + CHUNK)
+        if upto < len(code):
+            gaps = np.nonzero(classes()[code[at:upto]] == SPACE)[0]
+            upto = at + int(gaps[-1]) + 1 if len(gaps) else upto
+        start, name = words_of(code[at:upto])
+        starts.append(start + at)
+        names.append(name)
+        at = upto
+    start = np.concatenate(starts or [np.zeros(0, dtype=np.int64)])
+    name = np.concatenate(names or [np.zeros(0, dtype=np.uint64)])
+    ends = np.cumsum([len(t or "") + 1 for t in texts])
+    doc = np.searchsorted(ends, start, side="right")
+    n = np.bincount(doc, minlength=len(texts))
+    place = np.arange(len(name))
+    again = np.zeros(len(name), dtype=bool)
+    again[1:] = (name[1:] == name[:-1]) & (doc[1:] == doc[:-1])
+    times = place - np.maximum.accumulate(np.where(again, 0, place)) if len(name) else place
+    # the number of bits of how often the word has been repeated before
+    name = np.where(again, np.uint64(REPEAT) + np.frexp(np.maximum(times - 1, 0).astype(np.float64))[1].astype(np.uint64), name)
+    counts = np.where(n > 0, n + 2, 0)
+    first = np.cumsum(counts) - counts
+    out = np.full(counts.sum(), BEGIN, dtype=np.uint64)
+    out[first[doc] + 1 + place - (np.cumsum(n) - n)[doc]] = name
+    out[(first + counts - 1)[n > 0]] = END
+    return out, counts
 
 
 def _turned(x: np.ndarray, bits: int) -> np.ndarray:
@@ -116,9 +156,8 @@ def count_pairs(texts: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
     """(model, b, c, n) over all rows of (model, text), for those first words that fall into a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
         for piece in text_slices(batches):
-            flat, counts = word_names(piece.column("text").to_pylist(), held)
+            flat, counts = word_names(piece.column("text").to_pylist())
             model = np.repeat(piece.column("model").to_numpy(), counts)
             doc = np.repeat(np.arange(len(counts)), counts)
             own = (doc[1:] == doc[:-1]) & (flat[:-1] % np.uint64(parts) == np.uint64(part))
@@ -172,13 +211,12 @@ class WordModel:
         both = contexts.join(seen, (F.col("model") == F.col("m")) & (F.col("b") == F.col("w")), "full")
         named = both.select(F.coalesce("model", "m").alias("model"), F.coalesce("b", "w").alias("b"), F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce(F.log("n") - F.log("given"), F.lit(0.0)).alias("away"), F.coalesce("n", "k").alias("n"))
         tables = [materialize(self._kept(named, key_of("model", "b"), F.col("own") + F.col("away")), "kn-values")]
-        for part in counts:
-            own = discounted(part, "n", limits).join(contexts.drop("n").hint("merge"), ["model", "b"])
+        for i in range(VALUE_ROUNDS):
+            own = discounted(pairs.where(F.pmod(F.shiftright("b", 8), F.lit(VALUE_ROUNDS)) == i), "n", limits).join(contexts.drop("n").hint("shuffle_hash"), ["model", "b"])
             own = own.select("model", "c", key_of("model", "b", "c").alias("key"), ((F.col("n") - F.col("off")) / F.col("given")).cast("float").alias("x"), "n")
-            own = own.join(chances.drop("rest", "k").hint("merge"), ["model", "c"])
+            own = own.join(chances.drop("rest", "k").hint("shuffle_hash"), ["model", "c"])
             tables.append(materialize(self._kept(own, F.col("key"), -F.log1p(F.col("x") / F.col("p"))), "kn-values"))
-            forget(part)
-        for done in (limits, contexts, words, chances):
+        for done in (*counts, limits, contexts, words, chances):
             forget(done)
         self.values = tables[0]
         for other in tables[1:]:
@@ -217,12 +255,12 @@ def dealt(spark: SparkSession, n: int) -> list[int]:
     return [found[p] for p in range(n)]
 
 
-def entry_grams(texts: list[str | None], models: list[list[int]], held: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Entries are the texts with each of their models, at most 2 ** PLACE_BITS at a time: for each its text, its model, and
-    its symbols' number; and the distinct keys of words and pairs with the entry's place in the low bits, and how often."""
-    flat, counts = word_names(texts, held)
+def entry_grams(flat: np.ndarray, counts: np.ndarray, models: list[list[int]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """From texts' names, their lengths and each text's models. Entries are the texts with each of their models, at most
+    2 ** PLACE_BITS at a time: for each its text, its model, and its symbols' number; and the distinct keys of words and
+    pairs with the entry's place in the low bits, and how often."""
     starts = np.cumsum(counts) - counts
-    row = np.repeat(np.arange(len(texts)), [len(m) for m in models])
+    row = np.repeat(np.arange(len(models)), [len(m) for m in models])
     model = np.array([x for m in models for x in m], dtype=np.int64).view(np.uint64)
     for at in range(0, len(row), 1 << PLACE_BITS):
         doc, own = row[at : at + (1 << PLACE_BITS)], model[at : at + (1 << PLACE_BITS)]
@@ -239,6 +277,22 @@ def entry_grams(texts: list[str | None], models: list[list[int]], held: dict[str
         yield doc, own.view(np.int64), np.maximum(length - 1, 0), every[first], np.diff(first, append=len(every))
 
 
+def text_groups(batches: Iterator[pa.RecordBatch], models_of: Callable[[str | None, int | None], list[int]]) -> Iterator[tuple]:
+    """Names, lengths and models of as many texts as make a slice, with their keys."""
+    held, symbols, entries = [], 0, 0
+    for piece in text_slices(batches):
+        flat, counts = word_names(piece.column("text").to_pylist())
+        names = [models_of(lang, half) for lang, half in zip(piece.column("lang").to_pylist(), piece.column("half").to_pylist(), strict=True)]
+        more = sum(map(len, names))
+        if held and (symbols + len(flat) > SLICE_SYMBOLS or entries + more > 1 << PLACE_BITS):
+            yield tuple(np.concatenate(x) for x in list(zip(*held, strict=True))[:4]) + ([m for h in held for m in h[4]],)
+            held, symbols, entries = [], 0, 0
+        held.append((piece.column("k1").to_numpy(), piece.column("k2").to_numpy(), flat, counts, names))
+        symbols, entries = symbols + len(flat), entries + more
+    if held:
+        yield tuple(np.concatenate(x) for x in list(zip(*held, strict=True))[:4]) + ([m for h in held for m in h[4]],)
+
+
 def costs(texts: DataFrame, model: WordModel, models_of: Callable[[str | None, int | None], list[int]], rounds: int = ROUNDS) -> DataFrame:
     """(k1, k2, model, n, cost) for each row of (k1, k2, lang, half, text) and each model that ``models_of`` gives: the
     number of symbols, and the sum of what the model has for its words and pairs. Rows must come in the same order when
@@ -256,13 +310,11 @@ def costs(texts: DataFrame, model: WordModel, models_of: Callable[[str | None, i
         edges = np.array([((turn * shards + i) << KEY_BITS) // (rounds * shards) for i in range(shards + 1)], dtype=np.uint64)
 
         def cells(batches: Iterator[pa.RecordBatch], edges=edges, turn=turn) -> Iterator[pa.RecordBatch]:
-            held: dict[str, int] = {}
             known, worth = heavy.value
             known = known.astype(np.uint64)
             number, task = 0, TaskContext.get().partitionId()
-            for piece in text_slices(batches, rows=1 << PLACE_BITS):
-                names = [models_of(lang, half) for lang, half in zip(piece.column("lang").to_pylist(), piece.column("half").to_pylist(), strict=True)]
-                for doc, own, length, every, n in entry_grams(piece.column("text").to_pylist(), names, held):
+            for k1, k2, flat, counts, names in text_groups(batches, models_of):
+                for doc, own, length, every, n in entry_grams(flat, counts, names):
                     slice_id, number = (task << 32) | number, number + 1
                     key = every >> low
                     lo, hi = np.searchsorted(key, edges[[0, -1]])
@@ -274,7 +326,7 @@ def costs(texts: DataFrame, model: WordModel, models_of: Callable[[str | None, i
                     key, every, n = key[~there], every[~there], np.minimum(n[~there], 65535)
                     bounds = np.searchsorted(key, edges)
                     ranges = np.nonzero(np.diff(bounds))[0]
-                    head = pa.RecordBatch.from_arrays([piece.column("k1").take(pa.array(doc)), piece.column("k2").take(pa.array(doc)), pa.array(own), pa.array(length), pa.array(here)], names=["k1", "k2", "model", "n", "cost"])
+                    head = pa.RecordBatch.from_arrays([pa.array(k1[doc]), pa.array(k2[doc]), pa.array(own), pa.array(length), pa.array(here)], names=["k1", "k2", "model", "n", "cost"])
                     with pa.BufferOutputStream() as out:
                         with pa.ipc.new_stream(out, head.schema) as writer:
                             writer.write_batch(head)
