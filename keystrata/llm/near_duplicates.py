@@ -1,19 +1,22 @@
-"""Near-duplicate groups of documents: candidates by minima of word shingles and SimHash, verified by word shingles.
-
-Documents with the same words are brought together first. Each distinct text has ``BANDS`` keys, each of the minima of
-``ROWS`` hashes over its five-word shingles: texts with a Jaccard similarity of s share a key with a probability of
-1 - (1 - s**ROWS)**BANDS, which is above 0.9999 for ``SIMILARITY`` and more, wherever they differ. Texts that share one
-are candidates, as are those whose SimHashes of two-word shingles are at most ``RADIUS`` bits apart and share a fuzzy key
-(see ``golay``). A candidate is a link if the sets of five-word shingles have that similarity. Linked texts make groups.
-
-Candidates are all pairs of a key with few rows, and in a key with many those with its first row. Then, while new links
-appear, keys with many rows whose texts are not one group yet are taken up again: a text of each group but the largest
-is tried with all texts of the others. So large groups of near copies cost a few candidates a member, and a candidate
-that fails hides no other. Nothing is broadcast or collected.
+"""Near-duplicate groups of documents: SimHash fuzzy keys and minima of word shingles, verified by word shingles.
+
+Documents with the same words are brought together first, by 128 bits of digests. Each distinct text has a SimHash of
+its two-word shingles, whose Golay fuzzy keys (see ``golay``) bring those within ``RADIUS`` bits together, and ``BANDS``
+keys, each of the minima of ``ROWS`` hashes over its five-word shingles: texts with a Jaccard similarity of s share one of
+these with a probability of 1 - (1 - s**ROWS)**BANDS, which is above 0.9999 for ``SIMILARITY`` and more, wherever they
+differ. Eight bits of each minimum are a sketch; the share of equal ones estimates the similarity to 0.04. Texts that
+share a key and whose sketches say ``LIKELY`` or more are candidates. A candidate is a link if the whole sets of five-word
+shingles have the similarity. Linked texts make groups.
+
+Candidates are tried in three rounds, so that a group of many near copies costs a few links a member and no link of
+different groups stays untried. First each text with the likeliest first text of its keys, and the links of the fuzzy
+keys' forest. Then, in keys whose texts aren't all in one group yet, each text with the likeliest text of every other
+group; last, all pairs of texts of different groups. Sketches are compared in arrays by one task a key, which emits
+likely pairs only. Nothing is broadcast or collected.
 
 Defined results: null text and text without words are one text (they are copies of each other); documents with a null
 id count as one per text; of a group the document with the smallest id stays, of repeated rows of it one; an empty
-table gives no rows; other columns are carried.
+table gives no rows; other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,116 +25,226 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import materialize, text_slices
+from .common import forget, materialize, text_slices
 from .components import components
-from .simhash import SMALL_RUN, fingerprints, fuzzy_links, hashes, words
+from .digests import byte_words, digest
+from .simhash import fingerprints, fuzzy_links
 
-RADIUS, FEATURE_WORDS, SHINGLE_WORDS, SIMILARITY = 8, 2, 5, 0.8
-#: Keys of a text and the minima in each; the factors of their hashes, the same in every run.
+RADIUS, FEATURE_WORDS, SHINGLE_WORDS, SIMILARITY, LIKELY = 8, 2, 5, 0.8, 0.7
+#: Keys of a text and the minima in each; the factors and summands of their hashes, the same in every run.
 BANDS, ROWS = 24, 5
-FACTORS = np.random.default_rng(21).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_DRAWN = np.random.default_rng(21).integers(0, 2**32, (2, BANDS * ROWS), dtype=np.uint32)
+FACTORS, SUMMANDS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
+#: Rows of a block of sketches that are compared with a block of others.
+BLOCK = 512
+
+
+def shingles(name: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of all runs of ``size`` words of each text, and how many it has; of fewer words, the whole; of none, none."""
+    starts = np.cumsum(counts) - counts
+    runs = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    doc = np.repeat(np.arange(len(counts)), runs)
+    first = starts[doc] + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    out = digest(np.minimum(counts, size)[doc].astype(np.uint64), np.full(len(doc), 7, dtype=np.uint64))
+    for i in range(size):
+        there = counts[doc] > i
+        out = np.where(there, digest(name[np.minimum(first + i, max(0, len(name) - 1))], out), out) if len(name) else out
+    return out, runs
+
+
+def text_names(name: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Two 64-bit names of each text's words, a row each."""
+    ends = np.cumsum(counts)
+    up = np.cumprod(np.full(int(counts.max(initial=0)) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
+    place = np.arange(len(name)) - np.repeat(ends - counts, counts)
+    out = []
+    for seed in (1, 2):
+        sums = np.append(np.uint64(0), np.cumsum(digest(name, np.full(len(name), seed, dtype=np.uint64)) * up[place]))
+        out.append(digest(sums[ends] - sums[ends - counts], counts.astype(np.uint64)))
+    return np.stack(out).view(np.int64)
+
+
+def minima(flat: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """A row of ``BANDS * ROWS`` minima for each text; of nothing, zeros."""
+    low = (flat >> np.uint64(32)).astype(np.uint32)
+    out = np.zeros((len(runs), len(FACTORS)), dtype=np.uint32)
+    ends = np.cumsum(runs)
+    for i, (end, n) in enumerate(zip(ends.tolist(), runs.tolist(), strict=True)):
+        for at in range(end - n, end, 8192):
+            least = (low[None, at : min(end, at + 8192)] * FACTORS[:, None] + SUMMANDS[:, None]).min(1)
+            out[i] = least if at == end - n else np.minimum(out[i], least)
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of each row of minima."""
+    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(least), axis=0)
+    for row in range(ROWS):
+        keys = digest(least[:, row::ROWS].astype(np.uint64), keys)
+    return keys.view(np.int64)
 
 
-def text_names(texts: list[str | None]) -> np.ndarray:
-    """A 64-bit name of each text's words."""
-    from xxhash import xxh3_64_intdigest
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of equal bytes of sketches, row by row (of two blocks, for all pairs)."""
+    return np.count_nonzero(a == b, axis=-1) / (BANDS * ROWS)
 
-    return np.array([xxh3_64_intdigest(b" ".join(words(t))) for t in texts], dtype=np.uint64).view(np.int64)
 
+def sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
 
-def shingle_sets(texts: list[str | None], size: int = SHINGLE_WORDS) -> list[bytes]:
-    """Each text's shingles as sorted distinct 32-bit hashes."""
-    flat, counts = hashes(texts, size)
-    ends = np.cumsum(counts)
-    return [np.unique((flat[e - n : e] >> np.uint64(32)).astype(np.uint32)).tobytes() for e, n in zip(ends, counts, strict=True)]
 
-
-def similarity(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared / max(1, len(x) + len(y) - shared)
+def row_keys(docs: DataFrame) -> list[Column]:
+    """What tells a document: its id, and two digests of its text; the first stands for a null id."""
+    text = docs["text"]
+    one, two = (F.xxhash64(F.lit(i), text.isNull(), text) for i in (1, 2))
+    return [F.coalesce(docs["doc_id"].cast("long"), one), one, two]
 
 
-def named(docs: DataFrame) -> DataFrame:
-    """``docs`` with _nd_text, the name of its words, and _nd_id, its id or else that name."""
-    fields = docs.columns
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(node, fp, id, one, two, keys, sketch): a numbered row for each distinct text, with its first document's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in fields), pa.array(text_names(piece.column("text").to_pylist()))], names=[*fields, "_nd_text"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_nd_text", T.LongType())])
-    return docs.mapInArrow(run, schema).withColumn("_nd_id", F.coalesce(F.col("doc_id").cast("long"), F.col("_nd_text")))
-
-
-def band_keys(texts: list[str | None]) -> np.ndarray:
-    """A row of ``BANDS`` keys for each text; a text without words has the keys of none."""
-    flat, counts = hashes(texts, SHINGLE_WORDS)
-    flat = flat ^ (flat >> np.uint64(32))
-    least = np.zeros((len(texts), BANDS * ROWS), dtype=np.uint64)
-    some = np.nonzero(counts)[0]
-    if len(some):
-        starts = (np.cumsum(counts) - counts)[some]
-        for i, factor in enumerate(FACTORS):
-            # the high half of the product depends on all bits; its order is that of a random hash
-            least[some, i] = np.minimum.reduceat((flat * factor) >> np.uint64(16), starts)
-    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(texts), axis=0)
-    for row in range(ROWS):
-        keys = (keys ^ least[:, row::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
+            name, counts = byte_words(piece.column("text").to_pylist())
+            least = minima(*shingles(name, counts, SHINGLE_WORDS))
+            fp = fingerprints(*shingles(name, counts, FEATURE_WORDS)).view(np.int64)
+            high, low = text_names(name, counts)
+            columns = [pa.array(high), pa.array(low), *(piece.column(c) for c in ("id", "one", "two")), pa.array(fp), pa.array(list(band_keys(least)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in least.astype(np.uint8)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "id", "one", "two", "fp", "keys", "sketch"])
+
+    one = docs.select(*(c.alias(n) for c, n in zip(row_keys(docs), ("id", "one", "two"), strict=True)), "text")
+    rows = one.mapInArrow(run, "high long, low long, id long, one long, two long, fp long, keys array<long>, sketch binary")
+    firsts = rows.groupBy("high", "low").agg(F.min(F.struct("id", "one", "two", "fp", "keys", "sketch")).alias("f"))
+    return materialize(firsts.select("f.*").withColumn("node", F.monotonically_increasing_id()), "texts")
 
 
-def candidates(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct texts (node, fp, first), the first candidate links (a, b), and (key, node, n) of keys with n > 1 texts."""
+def likely(links: DataFrame, nodes: DataFrame, least: float = LIKELY) -> DataFrame:
+    """(a, b, like) of the links whose sketches are alike."""
+    side = lambda n: nodes.select(F.col("node").alias(f"n{n}"), F.col("sketch").alias(f"s{n}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_slices(batches, chars=2_000_000):
-            texts = piece.column("text").to_pylist()
-            fp = fingerprints(*hashes(texts, FEATURE_WORDS)).view(np.int64)
-            keys = pa.array(list(band_keys(texts)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(text_names(texts)), pa.array(fp), keys], names=["doc_id", "node", "fp", "keys"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, fp long, keys array<long>")
-    nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.coalesce("doc_id", "node")).alias("first"), F.first("keys").alias("keys"))
-    nodes = materialize(nodes, "texts")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                piece = whole.slice(at, 4096)
+                like = alike(sketches(piece.column("sa")), sketches(piece.column("sb")))
+                yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(like)], names=["a", "b", "like"]).filter(pa.array(like >= least))
+
+    both = links.join(side("b"), F.col("b") == F.col("nb")).join(side("a"), F.col("a") == F.col("na"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, like double")
+
+
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node, hub) for the keys of more than one text; the hub is its first."""
     spread = nodes.select("node", F.explode("keys").alias("key"))
-    many = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").withColumnRenamed("key", "k")
-    shared = materialize(spread.join(many, F.col("key") == F.col("k")).select("key", "node", "n", "hub"), "text-keys")
-    few = shared.where(F.col("n") <= SMALL_RUN)
-    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    stars = shared.where((F.col("n") > SMALL_RUN) & (F.col("hub") < F.col("node"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = fuzzy_links(nodes.select("node", "fp"), radius, all_pairs=True).unionByName(pairs).unionByName(stars).distinct()
-    return nodes.drop("keys"), materialize(links, "text-candidates"), shared.where(F.col("n") > SMALL_RUN).select("key", "node")
+    many = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select(F.col("key").alias("k"), "hub")
+    return materialize(spread.join(many, F.col("key") == F.col("k")).select("key", "node", "hub"), "text-keys")
+
+
+def first_links(nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(a, b): the links of the fuzzy keys' forest, and each text with the likeliest first text of its keys."""
+    stars = shared.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    best = likely(stars, nodes).groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a")).select("a", "b")
+    fuzzy = likely(fuzzy_links(nodes.select("node", "fp"), RADIUS), nodes).select("a", "b")
+    return best.unionByName(fuzzy).distinct()
+
+
+def further_links(shared: DataFrame, nodes: DataFrame, roots: DataFrame, every: bool) -> DataFrame:
+    """(a, b): in keys whose texts are of several groups, each text with the likeliest text of each other group, or
+    with ``every`` likely text of another group."""
+    rooted = roots.withColumnRenamed("node", "n")
+    placed = shared.join(rooted, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("k"))
+    rows = placed.join(open_, F.col("key") == F.col("k")).select("key", "root", "node")
+    rows = rows.join(nodes.select(F.col("node").alias("n"), "sketch"), F.col("node") == F.col("n")).select("key", "root", "node", "sketch")
+
+    def pairs(root: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows are sorted by group. The texts of the largest group are not tried by themselves, only with the others."""
+        edge = np.nonzero(np.diff(root, prepend=root[0] - 1, append=root[-1] + 1))[0]
+        size = np.diff(edge)
+        skip = int(size.argmax())
+        tried = np.concatenate([np.arange(edge[skip]), np.arange(edge[skip + 1], len(root))])
+        for at in range(0, len(tried), BLOCK):
+            own = tried[at : at + BLOCK]
+            found = [np.zeros((0, 2), dtype=np.int64)]
+            best, place = np.zeros((len(own), len(size))), np.zeros((len(own), len(size)), dtype=np.int64)
+            for g, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+                # of two groups that are both tried, the pairs are looked at once
+                mine = np.nonzero(root[own] != root[lo] if g == skip else root[own] < root[lo])[0]
+                for begin in range(lo, hi if len(mine) else lo, BLOCK):
+                    end = min(hi, begin + BLOCK)
+                    like = alike(sketch[own[mine], None, :], sketch[None, begin:end, :])
+                    if every:
+                        x, y = np.nonzero(like >= LIKELY)
+                        found.append(np.stack([node[own[mine[x]]], node[begin + y]], axis=1))
+                    else:
+                        y = like.argmax(1)
+                        top = like[np.arange(len(mine)), y]
+                        better = top > best[mine, g]
+                        best[mine[better], g], place[mine[better], g] = top[better], begin + y[better]
+            if not every:
+                x, g = np.nonzero(best >= LIKELY)
+                found.append(np.stack([node[own[x]], node[place[x, g]]], axis=1))
+            both = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(both.min(1, initial=2**63 - 1)), pa.array(both.max(1, initial=-(2**63)))], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, root, node, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+            edges = np.append(np.nonzero(np.diff(key, prepend=key[0] - 1))[0], len(key))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if root[lo] != root[hi - 1]:
+                    yield from pairs(root[lo:hi], node[lo:hi], sketch[lo:hi])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = (*(batch.column(c).to_numpy() for c in ("key", "root", "node")), sketches(batch.column("sketch")))
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if held and (cut or held[-1][0][-1] != now[0][0]):
+                held.append(tuple(x[:cut] for x in now))
+                held = [h for h in held if len(h[0])]
+                yield from out()
+                held = []
+            elif cut:
+                held = [tuple(x[:cut] for x in now)]
+                yield from out()
+                held = []
+            held.append(tuple(x[cut:] for x in now))
+        if held:
+            yield from out()
+
+    return rows.repartition("key").sortWithinPartitions("key", "root", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def shingle_sets(texts: list[str | None]) -> list[bytes]:
+    """Each text's shingles as sorted distinct 32-bit hashes."""
+    flat, runs = shingles(*byte_words(texts), SHINGLE_WORDS)
+    low, ends = (flat >> np.uint64(32)).astype(np.uint32), np.cumsum(runs)
+    return [np.unique(low[e - n : e]).tobytes() for e, n in zip(ends.tolist(), runs.tolist(), strict=True)]
 
-def further(keys: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """Candidates in large keys that hold several groups: a text of each but the largest, with all texts of the others."""
-    placed = keys.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
-    place = Window.partitionBy("key").orderBy(F.desc("size"), "root")
-    pivots = parts.withColumn("place", F.row_number().over(place)).where("place > 1").select("key", "pivot", F.col("root").alias("pivot_root"))
-    found = placed.join(pivots, "key").where("root <> pivot_root")
-    return found.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+def similarity(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(1, len(x) + len(y) - shared)
 
 
 def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The links whose texts are similar enough."""
     linked = links.select(F.col("a").alias("n")).unionByName(links.select(F.col("b").alias("n"))).distinct()
-    wanted = nodes.join(linked, F.col("node") == F.col("n")).select("node", "first")
+    wanted = nodes.join(linked, F.col("node") == F.col("n")).select("node", *(F.col(c).alias(f"w_{c}") for c in ("id", "one", "two")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_slices(batches, chars=2_000_000):
-            texts = piece.column("text").to_pylist()
-            own = pa.array(text_names(texts) == piece.column("node").to_numpy())
-            yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(shingle_sets(texts), pa.binary())], names=["node", "set"]).filter(own)
+        for piece in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(shingle_sets(piece.column("text").to_pylist()), pa.binary())], names=["node", "set"])
 
-    texts = named_ids(docs).join(wanted, F.col("id") == F.col("first")).select("node", "text")
+    rows = docs.select(*(c.alias(n) for c, n in zip(row_keys(docs), ("id", "one", "two"), strict=True)), "text")
+    texts = rows.join(wanted.hint("merge"), (F.col("id") == F.col("w_id")) & (F.col("one") == F.col("w_one")) & (F.col("two") == F.col("w_two"))).select("node", "text")
     found = materialize(texts.mapInArrow(sets, "node long, set binary").groupBy("node").agg(F.min("set").alias("set")), "shingle-sets")
     left = found.select(F.col("node").alias("na"), F.col("set").alias("sa"))
     right = found.select(F.col("node").alias("nb"), F.col("set").alias("sb"))
@@ -144,38 +257,36 @@ def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, least: float =
                 like = [similarity(x, y) >= least for x, y in zip(piece.column("sa").to_pylist(), piece.column("sb").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b")], names=["a", "b"]).filter(pa.array(like, pa.bool_()))
 
-    return pairs.mapInArrow(judge, "a long, b long")
-
-
-def named_ids(docs: DataFrame) -> DataFrame:
-    """(id, text): rows by id, or by the name of their text where the id is null."""
-    some = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    return some.unionByName(named(docs.where(F.col("doc_id").isNull()).select("doc_id", "text")).select(F.col("_nd_id").alias("id"), "text"))
+    good = materialize(pairs.mapInArrow(judge, "a long, b long"), "text-links")
+    forget(found)
+    return good
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(node, keeper): for each group, the text and the id of the document that stays."""
-    nodes, links, keys = candidates(docs)
-    good = materialize(verified(docs, nodes, links), "text-links")
+    """(id, one, two): the keys of the document that stays, for each group."""
+    nodes = distinct_texts(docs)
+    shared = shared_keys(nodes)
+    tried = materialize(first_links(nodes, shared), "text-candidates")
+    good = verified(docs, nodes, tried)
     roots = materialize(components(good, "a", "b", "text-links"), "text-roots")
-    turn = 0
-    while True:
-        turn += 1
-        fresh = materialize(further(keys, roots, turn).join(links, ["a", "b"], "left_anti"), "text-candidates")
+    for every in (False, True):
+        fresh = materialize(further_links(shared, nodes, roots, every).join(tried, ["a", "b"], "left_anti"), "text-candidates")
         if fresh.isEmpty():
             break
-        new = materialize(verified(docs, nodes, fresh), "text-links")
-        if new.isEmpty():
-            break
-        links, good = links.unionByName(fresh), good.unionByName(new)
+        tried, good = tried.unionByName(fresh), good.unionByName(verified(docs, nodes, fresh))
         roots = materialize(components(good, "a", "b", "text-links"), "text-roots")
-    placed = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    keepers = placed.groupBy("root").agg(F.min(F.struct("first", "node")).alias("k"))
-    return keepers.select(F.col("k.node").alias("node"), F.col("k.first").alias("keeper"))
+    placed = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("id", "one", "two", F.coalesce("root", "node").alias("root"))
+    kept = materialize(placed.groupBy("root").agg(F.min(F.struct("id", "one", "two")).alias("k")).select("k.*"), "text-keepers")
+    for done in (nodes, shared, tried, good, roots):
+        forget(done)
+    return kept
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, all columns as they are."""
     kept = groups(docs)
-    left = named(docs).join(kept, (F.col("_nd_id") == F.col("keeper")) & (F.col("_nd_text") == F.col("node")), "left_semi")
-    return left.dropDuplicates(["_nd_id", "_nd_text"]).select(*docs.columns)
+    keys = row_keys(docs)
+    own = [f"_{i}_{'_'.join(docs.columns)}" for i in range(3)]  # names that no column has
+    rows = docs.select("*", *(k.alias(n) for k, n in zip(keys, own, strict=True)))
+    at = [rows[n] == kept[c] for n, c in zip(own, ("id", "one", "two"), strict=True)]
+    return rows.join(kept.hint("merge"), at[0] & at[1] & at[2], "left_semi").dropDuplicates(own).select(*docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, materialize, table
-from .word_model import WordModel, costs
+from .word_model import WordModel, costs, count_tables
 
 #: The quantile of trusted scores that bounds a language; words of prior.
 QUANTILE, PRIOR_WORDS = 0.99, 10.0
@@ -64,21 +64,23 @@ def score_words(docs: DataFrame, labels: DataFrame, prior: float = PRIOR_WORDS)
     rows = keyed(docs)
     trusted = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(trusted_ids(labels), F.col("doc_id") == F.col("trusted_id"))
     trusted = materialize(trusted.select("k1", "k2", "doc_id", "lang", F.xxhash64("lang", "half").alias("model"), "half", "text"), "kn-trusted")
-    model = WordModel(trusted)
+    own = materialize(trusted.select("k1", "k2", "doc_id", "lang", "half", "model"), "kn-own")
+    counts = count_tables(trusted)
+    forget(trusted)
+    model = WordModel(counts)
     halves: dict[str, dict[int, int]] = {}
-    for r in trusted.select("lang", "half", "model").distinct().join(F.broadcast(model.unseen), "model").collect():
+    for r in own.select("lang", "half", "model").distinct().join(F.broadcast(model.unseen), "model").collect():
         halves.setdefault(r["lang"], {})[r["half"]] = r["model"]
+    own = own.drop("half", "model")
     if not halves:
         return None
     of = choices(halves)
     every = [sorted(set(own.values())) for own in of]
 
-    def models_of(lang: str | None, own: int | None) -> list[int]:
-        known = of[own or 0].get(lang)
-        return every[own or 0] if known is None else [known]
+    def models_of(lang: str | None, which: int | None) -> list[int]:
+        known = of[which or 0].get(lang)
+        return every[which or 0] if known is None else [known]
 
-    own = materialize(trusted.select("k1", "k2", "doc_id", "lang"), "kn-own")
-    forget(trusted)
     sums = costs(rows.select("k1", "k2", "lang", "half", "text"), model, models_of)
     sums = sums.join(F.broadcast(model.unseen), "model").select("k1", "k2", "model", "n", (F.col("cost") + F.col("n") * F.col("unseen")).alias("cost"))
     sums = materialize(sums, "kn-sums")

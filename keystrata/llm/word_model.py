@@ -22,6 +22,7 @@ Keys have 50 bits of a digest. Of 10**12 keys in a model, one in a thousand then
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -33,21 +34,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, materialize, text_slices
+from .digests import CHUNK, digest, spans
 
 #: Characters of scripts written without spaces: Thai to Tibetan, Burmese, Khmer, kana, Han and their extensions.
 ALONE = "฀-࿿က-႟ក-៿⺀-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
 SPACE, LETTER, MARK, SINGLE = range(4)
-#: Characters that are cut into words at once.
-CHUNK = 1 << 20
 #: Names that aren't digests; the repeats of one word have REPEAT and the numbers after it.
 BEGIN, END, REPEAT = 1, 2, 3
-#: Parts that counting, joining values and looking up are done in; share of all counts from which a key is looked up at
+#: Parts that counting, joining the values of one of those, and looking up are done in; share of all counts from which a key is looked up at
 #: the texts; symbols of a slice at most (but for a longer text).
-COUNT_ROUNDS, VALUE_ROUNDS, ROUNDS, HEAVY, SLICE_SYMBOLS = 2, 4, 2, 1 << 20, 4_000_000
+COUNT_ROUNDS, VALUE_ROUNDS, ROUNDS, HEAVY, SLICE_SYMBOLS = 2, 2, 3, 1 << 20, 1_500_000
 #: Bits of a key; of a text's place in its slice; values are kept in steps of 1 / STEPS; keys of a range at most.
 KEY_BITS, PLACE_BITS, STEPS, RANGE_KEYS = 50, 12, 1024, 16_000_000
-#: The primes of XXH64.
-P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
 
 
 @functools.cache
@@ -61,14 +59,8 @@ def classes() -> np.ndarray:
     return out
 
 
-@functools.cache
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    return tuple(np.cumprod(np.full(CHUNK, p % 2**64, dtype=np.uint64)) for p in (P1, pow(P1, -1, 2**64)))
-
-
 def words_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words begin in an array of characters, and their digests: polynomials of the characters, mixed."""
+    """Where words begin in an array of characters, and their digests."""
     kind = classes()[code]
     change = np.empty(len(code), dtype=bool)
     change[:1] = True
@@ -76,10 +68,7 @@ def words_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.append(np.nonzero(change)[0], len(code))
     word = kind[edge[:-1]] != SPACE
     start, end = edge[:-1][word], edge[1:][word]
-    up, down = powers()
-    sums = np.cumsum((code.astype(np.uint64) + np.uint64(1)) * up[: len(code)])
-    before = np.where(start > 0, sums[start - 1], np.uint64(0))
-    return start, digest((sums[end - 1] - before) * down[start], (end - start).astype(np.uint64))
+    return start, spans(code, start, end)
 
 
 def word_names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,20 +105,6 @@ def word_names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def _turned(x: np.ndarray, bits: int) -> np.ndarray:
-    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
-
-
-def digest(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """XXH64 of a long, as the SQL function ``xxhash64`` chains it over its arguments (the first seed is 42)."""
-    u = np.uint64
-    h = (seed + u(P5) + u(8)) ^ (_turned(value.astype(np.uint64) * u(P2), 31) * u(P1))
-    h = _turned(h, 27) * u(P1) + u(P4)
-    h = (h ^ (h >> u(33))) * u(P2)
-    h = (h ^ (h >> u(29))) * u(P3)
-    return h ^ (h >> u(32))
-
-
 def key_of(*columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 64 - KEY_BITS)
 
@@ -168,6 +143,11 @@ def count_pairs(texts: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
     return texts.select("model", "text").mapInArrow(run, "model long, b long, c long, n long").groupBy("model", "b", "c").agg(F.sum("n").alias("n"))
 
 
+def count_tables(texts: DataFrame, parts: int = COUNT_ROUNDS) -> list[DataFrame]:
+    """The counts of all pairs of (model, text), written in parts, sorted so that they take little room."""
+    return [materialize(count_pairs(texts, i, parts).sortWithinPartitions("model", "b"), "kn-pairs") for i in range(parts)]
+
+
 def discounts(counts: DataFrame, value: str) -> DataFrame:
     """d1, d2, d3 of each model, from the numbers of n-grams seen one to four times."""
     found = counts.groupBy("model").agg(*(F.sum((F.col(value) == i).cast("double")).alias(f"n{i}") for i in range(1, 5)))
@@ -190,8 +170,8 @@ class WordModel:
     """``values``: (key, value, n) of all models' words and pairs; ``unseen``: (model, unseen), the cost of a word that a
     model doesn't hold, a row a model."""
 
-    def __init__(self, texts: DataFrame, parts: int = COUNT_ROUNDS):
-        counts = [materialize(count_pairs(texts, i, parts).sortWithinPartitions("model", "b"), "kn-pairs") for i in range(parts)]
+    def __init__(self, counts: list[DataFrame]):
+        """From written tables (model, b, c, n), which are deleted."""
         pairs = counts[0]
         for other in counts[1:]:
             pairs = pairs.unionByName(other)
@@ -211,12 +191,14 @@ class WordModel:
         both = contexts.join(seen, (F.col("model") == F.col("m")) & (F.col("b") == F.col("w")), "full")
         named = both.select(F.coalesce("model", "m").alias("model"), F.coalesce("b", "w").alias("b"), F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce(F.log("n") - F.log("given"), F.lit(0.0)).alias("away"), F.coalesce("n", "k").alias("n"))
         tables = [materialize(self._kept(named, key_of("model", "b"), F.col("own") + F.col("away")), "kn-values")]
-        for i in range(VALUE_ROUNDS):
-            own = discounted(pairs.where(F.pmod(F.shiftright("b", 8), F.lit(VALUE_ROUNDS)) == i), "n", limits).join(contexts.drop("n").hint("shuffle_hash"), ["model", "b"])
+        for part, i in itertools.product(counts, range(VALUE_ROUNDS)):
+            own = discounted(part.where(F.pmod(F.shiftright("b", 8), F.lit(VALUE_ROUNDS)) == i), "n", limits).join(contexts.drop("n").hint("shuffle_hash"), ["model", "b"])
             own = own.select("model", "c", key_of("model", "b", "c").alias("key"), ((F.col("n") - F.col("off")) / F.col("given")).cast("float").alias("x"), "n")
             own = own.join(chances.drop("rest", "k").hint("shuffle_hash"), ["model", "c"])
             tables.append(materialize(self._kept(own, F.col("key"), -F.log1p(F.col("x") / F.col("p"))), "kn-values"))
-        for done in (*counts, limits, contexts, words, chances):
+            if i == VALUE_ROUNDS - 1:
+                forget(part)
+        for done in (limits, contexts, words, chances):
             forget(done)
         self.values = tables[0]
         for other in tables[1:]:

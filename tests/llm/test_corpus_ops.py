@@ -437,7 +437,7 @@ def test_costs_by_joins_equal_the_plain_model(spark, monkeypatch, heavy):
     learned = [[prose(pick, 60) + pick.choice([".", " !!", " $$$", ""]) for _ in range(25)] + ["A. B! 12", "ab ab ab ab ab cd", ""] for _ in range(2)]
     texts = spark.createDataFrame([(m + 7, t) for m in (0, 1) for t in learned[m]], "model long, text string")
     monkeypatch.setattr(word_model.WordModel.heavy, "__defaults__", (heavy,))
-    model = word_model.WordModel(texts)
+    model = word_model.WordModel(word_model.count_tables(texts))
     asked = [*learned[0][:5], *learned[1][:5], None, "", "x", "cd cd ab. B B B B", prose(pick, 3000), "!!" * 5000]
     rows = spark.createDataFrame([(i, -i, ["a", "b", None][i % 3], i % 2, t) for i, t in enumerate(asked)] * 2, "k1 long, k2 long, lang string, half int, text string")
     of = {"a": [7], "b": [8], None: [7, 8]}
