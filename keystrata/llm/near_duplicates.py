@@ -8,11 +8,11 @@ differ. Eight bits of each minimum are a sketch; the share of equal ones estimat
 share a key and whose sketches say ``LIKELY`` or more are candidates. A candidate is a link if the whole sets of five-word
 shingles have the similarity. Linked texts make groups.
 
-Candidates are tried in three rounds, so that a group of many near copies costs a few links a member and no link of
+Candidates are tried in two rounds, so that a group of many near copies costs a few links a member and no link between
 different groups stays untried. First each text with the likeliest first text of its keys, and the links of the fuzzy
-keys' forest. Then, in keys whose texts aren't all in one group yet, each text with the likeliest text of every other
-group; last, all pairs of texts of different groups. Sketches are compared in arrays by one task a key, which emits
-likely pairs only. Nothing is broadcast or collected.
+keys' forest. Then, in keys whose texts aren't all in one group yet, every text with all likely texts of other groups,
+the likeliest first: a task holds a key's texts as sketches and sets, compares them in arrays, and emits a link only
+where it joins two groups, so less than one a text. Nothing is broadcast or collected.
 
 Defined results: null text and text without words are one text (they are copies of each other); documents with a null
 id count as one per text; of a group the document with the smallest id stays, of repeated rows of it one; an empty
@@ -38,9 +38,6 @@ RADIUS, FEATURE_WORDS, SHINGLE_WORDS, SIMILARITY, LIKELY = 8, 2, 5, 0.8, 0.7
 BANDS, ROWS = 24, 5
 _DRAWN = np.random.default_rng(21).integers(0, 2**32, (2, BANDS * ROWS), dtype=np.uint32)
 FACTORS, SUMMANDS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
-#: Rows of a block of sketches that are compared with a block of others.
-BLOCK = 512
-
 
 def shingles(name: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Digests of all runs of ``size`` words of each text, and how many it has; of fewer words, the whole; of none, none."""
@@ -151,76 +148,6 @@ def first_links(nodes: DataFrame, shared: DataFrame) -> DataFrame:
     return best.unionByName(fuzzy).distinct()
 
 
-def further_links(shared: DataFrame, nodes: DataFrame, roots: DataFrame, every: bool) -> DataFrame:
-    """(a, b): in keys whose texts are of several groups, each text with the likeliest text of each other group, or
-    with ``every`` likely text of another group."""
-    rooted = roots.withColumnRenamed("node", "n")
-    placed = shared.join(rooted, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("k"))
-    rows = placed.join(open_, F.col("key") == F.col("k")).select("key", "root", "node")
-    rows = rows.join(nodes.select(F.col("node").alias("n"), "sketch"), F.col("node") == F.col("n")).select("key", "root", "node", "sketch")
-
-    def pairs(root: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows are sorted by group. The texts of the largest group are not tried by themselves, only with the others."""
-        edge = np.nonzero(np.diff(root, prepend=root[0] - 1, append=root[-1] + 1))[0]
-        size = np.diff(edge)
-        skip = int(size.argmax())
-        tried = np.concatenate([np.arange(edge[skip]), np.arange(edge[skip + 1], len(root))])
-        for at in range(0, len(tried), BLOCK):
-            own = tried[at : at + BLOCK]
-            found = [np.zeros((0, 2), dtype=np.int64)]
-            best, place = np.zeros((len(own), len(size))), np.zeros((len(own), len(size)), dtype=np.int64)
-            for g, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-                # of two groups that are both tried, the pairs are looked at once
-                mine = np.nonzero(root[own] != root[lo] if g == skip else root[own] < root[lo])[0]
-                for begin in range(lo, hi if len(mine) else lo, BLOCK):
-                    end = min(hi, begin + BLOCK)
-                    like = alike(sketch[own[mine], None, :], sketch[None, begin:end, :])
-                    if every:
-                        x, y = np.nonzero(like >= LIKELY)
-                        found.append(np.stack([node[own[mine[x]]], node[begin + y]], axis=1))
-                    else:
-                        y = like.argmax(1)
-                        top = like[np.arange(len(mine)), y]
-                        better = top > best[mine, g]
-                        best[mine[better], g], place[mine[better], g] = top[better], begin + y[better]
-            if not every:
-                x, g = np.nonzero(best >= LIKELY)
-                found.append(np.stack([node[own[x]], node[place[x, g]]], axis=1))
-            both = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(both.min(1, initial=2**63 - 1)), pa.array(both.max(1, initial=-(2**63)))], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            key, root, node, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
-            edges = np.append(np.nonzero(np.diff(key, prepend=key[0] - 1))[0], len(key))
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if root[lo] != root[hi - 1]:
-                    yield from pairs(root[lo:hi], node[lo:hi], sketch[lo:hi])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = (*(batch.column(c).to_numpy() for c in ("key", "root", "node")), sketches(batch.column("sketch")))
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            if held and (cut or held[-1][0][-1] != now[0][0]):
-                held.append(tuple(x[:cut] for x in now))
-                held = [h for h in held if len(h[0])]
-                yield from out()
-                held = []
-            elif cut:
-                held = [tuple(x[:cut] for x in now)]
-                yield from out()
-                held = []
-            held.append(tuple(x[cut:] for x in now))
-        if held:
-            yield from out()
-
-    return rows.repartition("key").sortWithinPartitions("key", "root", "node").mapInArrow(run, "a long, b long").distinct()
-
-
 def shingle_sets(texts: list[str | None]) -> list[bytes]:
     """Each text's shingles as sorted distinct 32-bit hashes."""
     flat, runs = shingles(*byte_words(texts), SHINGLE_WORDS)
@@ -234,18 +161,22 @@ def similarity(a: bytes, b: bytes) -> float:
     return shared / max(1, len(x) + len(y) - shared)
 
 
-def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The links whose texts are similar enough."""
-    linked = links.select(F.col("a").alias("n")).unionByName(links.select(F.col("b").alias("n"))).distinct()
-    wanted = nodes.join(linked, F.col("node") == F.col("n")).select("node", *(F.col(c).alias(f"w_{c}") for c in ("id", "one", "two")))
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, set) for the distinct texts in ``wanted`` (node), written."""
+    wanted = nodes.join(wanted.select(F.col("node").alias("n")), F.col("node") == F.col("n")).select("node", *(F.col(c).alias(f"w_{c}") for c in ("id", "one", "two")))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
             yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(shingle_sets(piece.column("text").to_pylist()), pa.binary())], names=["node", "set"])
 
     rows = docs.select(*(c.alias(n) for c, n in zip(row_keys(docs), ("id", "one", "two"), strict=True)), "text")
     texts = rows.join(wanted.hint("merge"), (F.col("id") == F.col("w_id")) & (F.col("one") == F.col("w_one")) & (F.col("two") == F.col("w_two"))).select("node", "text")
-    found = materialize(texts.mapInArrow(sets, "node long, set binary").groupBy("node").agg(F.min("set").alias("set")), "shingle-sets")
+    return materialize(texts.mapInArrow(run, "node long, set binary").groupBy("node").agg(F.min("set").alias("set")), "shingle-sets")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The links whose texts are similar enough, written."""
+    found = sets_of(docs, nodes, links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct())
     left = found.select(F.col("node").alias("na"), F.col("set").alias("sa"))
     right = found.select(F.col("node").alias("nb"), F.col("set").alias("sb"))
     pairs = links.join(right, F.col("b") == F.col("nb")).join(left, F.col("a") == F.col("na")).select("a", "b", "sa", "sb")
@@ -262,6 +193,70 @@ def verified(docs: DataFrame, nodes: DataFrame, links: DataFrame, least: float =
     return good
 
 
+def joining(root: np.ndarray, node: np.ndarray, sketch: np.ndarray, sets: list[bytes], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that join groups (``root``) of one key's texts: all that are connected by likely and similar pairs end up so."""
+    group = np.unique(root, return_inverse=True)[1]
+    out = []
+    # every pair of groups has one that isn't the largest
+    for i in np.nonzero(group != np.bincount(group).argmax())[0].tolist():
+        other = np.nonzero(group != group[i])[0]
+        like = alike(sketch[i], sketch[other])
+        near = like >= LIKELY
+        for j in other[near][np.argsort(-like[near], kind="stable")].tolist():
+            if group[j] != group[i] and similarity(sets[i], sets[j]) >= least:
+                out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def further_links(docs: DataFrame, shared: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): verified links that join groups, from the keys whose texts are of several."""
+    rooted = roots.withColumnRenamed("node", "n")
+    placed = shared.join(rooted, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("k"))
+    rows = materialize(placed.join(open_, F.col("key") == F.col("k")).select("key", "root", "node"), "text-keys")
+    found = sets_of(docs, nodes, rows.select("node").distinct())
+    full = found.join(nodes.select(F.col("node").alias("n"), "sketch"), F.col("node") == F.col("n")).select("n", "sketch", "set")
+    full = rows.join(full, F.col("node") == F.col("n")).select("key", "root", "node", "sketch", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            key, root, node = (whole.column(c).to_numpy() for c in ("key", "root", "node"))
+            edges = np.append(np.nonzero(np.diff(key, prepend=key[0] - 1))[0], len(key))
+            links = []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if root[lo] != root[hi - 1]:
+                    part = whole.slice(lo, hi - lo)
+                    links += joining(root[lo:hi], node[lo:hi], sketches(part.column("sketch")), part.column("set").to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                key = batch.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
+                if held and (cut or held[-1].column("key")[-1].as_py() != key[0]):
+                    held.append(batch.slice(0, cut))
+                    yield out()
+                    held = []
+                elif cut:
+                    held = [batch.slice(0, cut)]
+                    yield out()
+                    held = []
+                held.append(batch.slice(cut))
+        if held:
+            yield out()
+
+    links = full.repartition("key").sortWithinPartitions("key", "root", "node").mapInArrow(run, "a long, b long").distinct()
+    links = materialize(links, "text-links")
+    forget(rows)
+    forget(found)
+    return links
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(id, one, two): the keys of the document that stays, for each group."""
     nodes = distinct_texts(docs)
@@ -269,12 +264,8 @@ def groups(docs: DataFrame) -> DataFrame:
     tried = materialize(first_links(nodes, shared), "text-candidates")
     good = verified(docs, nodes, tried)
     roots = materialize(components(good, "a", "b", "text-links"), "text-roots")
-    for every in (False, True):
-        fresh = materialize(further_links(shared, nodes, roots, every).join(tried, ["a", "b"], "left_anti"), "text-candidates")
-        if fresh.isEmpty():
-            break
-        tried, good = tried.unionByName(fresh), good.unionByName(verified(docs, nodes, fresh))
-        roots = materialize(components(good, "a", "b", "text-links"), "text-roots")
+    good = good.unionByName(further_links(docs, shared, nodes, roots))
+    roots = materialize(components(good, "a", "b", "text-links"), "text-roots")
     placed = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("id", "one", "two", F.coalesce("root", "node").alias("root"))
     kept = materialize(placed.groupBy("root").agg(F.min(F.struct("id", "one", "two")).alias("k")).select("k.*"), "text-keepers")
     for done in (nodes, shared, tried, good, roots):

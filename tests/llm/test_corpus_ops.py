@@ -1,6 +1,7 @@
 """Mixing, fingerprints, components, decontamination, passages, quality, language and search against brute force."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -245,6 +246,68 @@ def test_near_duplicates_of_a_large_family(spark):
     assert {r["doc_id"] for r in near_duplicates.drop_near_duplicates(corpus(spark, texts)).collect()} == {0, 151}
 
 
+def plain_groups(texts, size=5, least=0.8):
+    """Each text's first text of its group, by all pairs that share a shingle."""
+    sets, where = [], {}
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))})
+    first = {}
+    of = [first.setdefault(frozenset(s), i) for i, s in enumerate(sets)]
+    close = [(i, f) for i, f in enumerate(of) if f != i]
+    for i in sorted(set(of)):
+        shared = Counter(j for s in sets[i] for j in where.get(s, ()))
+        close += [(i, j) for j, n in shared.items() if n >= least * (len(sets[i]) + len(sets[j]) - n)]
+        for s in sets[i]:
+            where.setdefault(s, []).append(i)
+    return plain_components(len(texts), close)
+
+
+def test_near_duplicates_of_a_family_about_the_bound(spark):
+    pick = random.Random(21)
+    base = prose(pick, 150).split()
+    texts = [" ".join(base)]
+    for _ in range(300):
+        w = list(base)
+        for at in pick.sample(range(150), pick.choice([1, 2, 3, 4, 5])):
+            w[at] = pick.choice(WORDS) + pick.choice("qzy")
+        texts.append(" ".join(w))
+    texts += near_copies(pick, 40, 90, 3)
+    want = plain_groups(texts)
+    assert {r["doc_id"] for r in near_duplicates.drop_near_duplicates(corpus(spark, texts)).collect()} == set(want)
+
+
+def test_joining_connects_what_all_pairs_connect():
+    pick = random.Random(22)
+    texts = near_copies(pick, 60, 100, 4) + near_copies(pick, 20, 100, 3)
+    sets = near_duplicates.shingle_sets(texts)
+    least = near_duplicates.minima(*near_duplicates.shingles(*near_duplicates.byte_words(texts), 5)).astype(np.uint8)
+    root = np.arange(len(texts)) // 3
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if near_duplicates.similarity(sets[a], sets[b]) >= 0.8 and near_duplicates.alike(least[a], least[b]) >= near_duplicates.LIKELY]
+    same = [(a, b) for a in range(len(texts)) for b in range(a) if root[a] == root[b]]
+    got = near_duplicates.joining(root, np.arange(len(texts)), least, sets)
+    assert plain_components(len(texts), same + got) == plain_components(len(texts), same + pairs) and len(got) < len(texts)
+
+
+@pytest.mark.parametrize("sf", ["0.01"])
+def test_near_duplicates_of_a_whole_table(spark, sf):
+    path = f"/root/testdata/sf{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    want = {rows[r][0] for r in plain_groups([t for _, t in rows])}
+    assert {r["doc_id"] for r in near_duplicates.drop_near_duplicates(docs).collect()} == want
+
+
+def test_near_duplicates_carry_any_column(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other")], "doc_id long, text string")
+    names = ["node", "keeper", "id", "one", "two", "root", "key", "fp", "sketch", "w_id"]
+    odd = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    kept = near_duplicates.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 3}
+
+
 # decontamination
 
 
