@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 FNV_OFFSET = 2166136261
 FNV_PRIME = 16777619
 
-# Parts a membership filter is split into, least bits, most bits.
+# Parts a membership filter is split into, least bits, most bits; keys and rate where none are given.
 FILTER_PARTS = 32
 FILTER_LEAST_BITS = 64
 FILTER_MOST_BITS = 16 * 2**30
+FILTER_DEFAULTS = (1000, 0.01)
 
 
 def fnv1a32(key: Column) -> Column:
@@ -55,11 +56,12 @@ class FilterSize:
 
     @classmethod
     def of(cls, n: int, rate: float) -> FilterSize:
-        """For n keys at a false-positive rate: the optimum, within the fixed bounds."""
-        wanted = -n * math.log(rate) / math.log(2) ** 2 if n > 0 else 0
-        bits = min(max(math.ceil(wanted), FILTER_LEAST_BITS), FILTER_MOST_BITS)
-        probes = max(1, math.ceil(bits / max(n, 1) * math.log(2)))
-        return cls(bits, probes, max(1, -(-bits // FILTER_PARTS)))
+        """For n keys at a false-positive rate: the optimum. Bits are kept within the fixed bounds; probes are those of the
+        optimum, whatever the bounds. Without a positive number of keys or rate, those of ``FILTER_DEFAULTS`` hold."""
+        n, rate = n if n > 0 else FILTER_DEFAULTS[0], rate if rate > 0 else FILTER_DEFAULTS[1]
+        best = -n * math.log(rate) / math.log(2) ** 2
+        bits = min(max(math.ceil(best), FILTER_LEAST_BITS), FILTER_MOST_BITS)
+        return cls(bits, max(1, math.ceil(best / n * math.log(2))), max(1, -(-bits // FILTER_PARTS)))
 
 
 def filter_positions(segment: Column, key: Column, size: FilterSize) -> Column:

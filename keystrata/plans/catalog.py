@@ -230,14 +230,59 @@ def group_commit_batches(spark, sf_dir):
     return log.groupBy("grp").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum(record_bytes(F.col("key"), F.col("value"))).alias("bytes"))
 
 
-@query()
+@query(LOG.replace("WITH", "WITH RECURSIVE", 1) + f"""
+, sized AS (SELECT seq, key, strlen(key) + strlen(value) + 16 AS size FROM oplog),
+rotated AS (
+    SELECT -1::BIGINT AS "table", NULL::BIGINT AS first_seq, -1::BIGINT AS last_seq, 0::BIGINT AS n_ops, 0::BIGINT AS n_keys, 0::BIGINT AS bytes, true AS frozen
+    UNION ALL
+    SELECT "table", min(seq), max(seq), count(*), count(*) FILTER (fresh), CAST(max_by(net, seq) AS BIGINT), max(net) >= {FLUSH_BYTES}
+    FROM (
+        SELECT *, coalesce(max(net) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached
+        FROM (
+            SELECT "table", seq, before IS NULL AS fresh, sum(size - coalesce(before, 0)) OVER (ORDER BY seq) AS net
+            FROM (SELECT t."table" + 1 AS "table", s.seq, s.size, lag(s.size) OVER (PARTITION BY s.key ORDER BY s.seq) AS before FROM rotated t JOIN sized s ON s.seq > t.last_seq)
+        )
+    ) WHERE reached < {FLUSH_BYTES} GROUP BY "table"
+)
+SELECT * FROM rotated WHERE "table" >= 0
+""")
 def memtable_rotation(spark, sf_dir):
     return sequential.rotations(events_log(spark, sf_dir), FLUSH_BYTES)
 
 
-@query()
+@query(f"""
+, ops AS (
+    SELECT *, event_type = 'view' AS is_read, epoch_us(ts) * 1000 AS at_ns,
+           last_value(CASE WHEN event_type <> 'view' THEN seq END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq) AS written
+    FROM oplog
+), states AS (
+    SELECT o.seq, o.key, o.is_read, coalesce(NOT w.is_deleted AND NOT (w.expiry_ns > 0 AND o.at_ns > w.expiry_ns), false) AS is_live
+    FROM ops o LEFT JOIN oplog w ON w.seq = o.written
+), folded AS (
+    SELECT list_reduce(
+        list_prepend({{'keys': []::VARCHAR[], 'fill': false, 'hits': 0::BIGINT, 'evictions': 0::BIGINT}}, list({{'keys': [key], 'fill': is_read AND is_live, 'hits': 0::BIGINT, 'evictions': 0::BIGINT}} ORDER BY seq)),
+        lambda a, x: {{
+            'keys': CASE WHEN NOT x.fill THEN list_filter(a.keys, lambda k: k <> x.keys[1])
+                         WHEN list_contains(a.keys, x.keys[1]) THEN list_append(list_filter(a.keys, lambda k: k <> x.keys[1]), x.keys[1])
+                         WHEN len(a.keys) >= {CACHE_KEYS} THEN list_append(a.keys[2:], x.keys[1])
+                         ELSE list_append(a.keys, x.keys[1]) END,
+            'fill': false,
+            'hits': a.hits + CASE WHEN x.fill AND list_contains(a.keys, x.keys[1]) THEN 1 ELSE 0 END,
+            'evictions': a.evictions + CASE WHEN x.fill AND NOT list_contains(a.keys, x.keys[1]) AND len(a.keys) >= {CACHE_KEYS} THEN 1 ELSE 0 END
+        }}) AS f
+    FROM states
+)
+SELECT is_read, count(*) AS ops, CASE WHEN is_read THEN f.hits ELSE 0 END AS hits, CASE WHEN is_read THEN f.evictions ELSE 0 END AS evictions FROM states, folded GROUP BY is_read, f
+""")
 def cache_lru_sim(spark, sf_dir):
-    ops = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("user:"), F.col("user_id")).alias("key"), (F.col("event_type") == "view").alias("is_read"))
+    """Views read, all other events write; a read fills the cache with what is live at its time."""
+    events = table(spark, sf_dir, "events")
+    log = oplog.event_log(events, "event_type", "ts").withColumn("is_read", F.col("event_type") == "view")
+    version = F.when(~F.col("is_read"), F.struct("is_deleted", "expiry_ns"))
+    written = F.last(version, ignorenulls=True).over(Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = oplog.unix_nanos(F.col("ts"))
+    live = F.coalesce(~F.col("w.is_deleted") & ~((F.col("w.expiry_ns") > 0) & (at > F.col("w.expiry_ns"))), F.lit(False))
+    ops = log.withColumn("w", written).select("seq", "key", "is_read", live.alias("is_live"))
     found = sequential.simulate_cache(ops, CACHE_KEYS)
     return found.groupBy("is_read").agg(F.count("*").alias("ops"), F.count_if("hit").alias("hits"), F.count("evicted").alias("evictions"))
 
@@ -323,32 +368,61 @@ def tier_resolve(spark, sf_dir):
     return found.select("key", "tier", "seq", resolve.outcome(now(spark, sf_dir)).alias("outcome"))
 
 
-@query("SELECT level, count(*) AS n_segments, count(*) >= 4 AND level = 0 AS compact FROM (SELECT DISTINCT segment, CAST(CASE WHEN segment >= 8 THEN -1 WHEN segment >= 4 THEN 0 ELSE 1 END AS INTEGER) AS level FROM segments) GROUP BY level")
+@query("""
+SELECT level, count(*) AS n_segments, count(*) >= 4 AND level = 0 AS compact
+FROM (SELECT DISTINCT segment, CAST(CASE WHEN segment = (SELECT max(segment) FROM segments) THEN -1 ELSE 0 END AS INTEGER) AS level FROM segments) GROUP BY level
+""")
 def compaction_plan(spark, sf_dir):
-    level = F.when(F.col("segment") >= 8, -1).when(F.col("segment") >= 4, 0).otherwise(1).alias("level")
-    found = events_log(spark, sf_dir).select(F.floor(F.col("seq") / SEGMENT_ROWS).alias("segment")).distinct().select("segment", level)
-    counted = found.groupBy("level").agg(F.count("*").alias("n_segments"))
+    """The last segment is still in memory, all before it are at level 0."""
+    found = events_log(spark, sf_dir).select(F.floor(F.col("seq") / SEGMENT_ROWS).alias("segment")).distinct()
+    last = found.agg(F.max("segment")).scalar()
+    counted = found.groupBy(F.when(F.col("segment") == last, -1).otherwise(0).alias("level")).agg(F.count("*").alias("n_segments"))
     return counted.withColumn("compact", (F.col("n_segments") >= Options().compact_at) & (F.col("level") == 0))
 
 
-MERGED = "SELECT * FROM segments WHERE segment BETWEEN 4 AND 7 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1"
+MERGED = "SELECT *, segment // 4 AS run FROM segments QUALIFY row_number() OVER (PARTITION BY segment // 4, key ORDER BY seq DESC) = 1"
+
+
+def merged_runs(spark, sf_dir):
+    """All segments of level 0, merged as they come: each run of as many as start a compaction is one merge."""
+    rows = segmented(spark, sf_dir).withColumn("run", F.floor(F.col("segment") / Options().compact_at))
+    place = F.row_number().over(Window.partitionBy("run", "key").orderBy(F.desc("seq")))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-@query(f"SELECT key, value, expiry_ns, is_deleted, seq FROM ({MERGED})")
+@query(f"SELECT run, key, value, expiry_ns, is_deleted, seq FROM ({MERGED})")
 def compaction_merge(spark, sf_dir):
-    return resolve.latest(segmented(spark, sf_dir).where("segment BETWEEN 4 AND 7")).select("key", "value", "expiry_ns", "is_deleted", "seq")
+    return merged_runs(spark, sf_dir).select("run", "key", "value", "expiry_ns", "is_deleted", "seq")
 
 
 @query(f"SELECT count(*) AS n, count(*) FILTER (is_deleted) AS tombstones, count(*) FILTER (expiry_ns > 0 AND now_ns > expiry_ns) AS expired FROM ({MERGED}), instant")
 def compaction_tombstones_kept(spark, sf_dir):
-    merged = resolve.latest(segmented(spark, sf_dir).where("segment BETWEEN 4 AND 7")).withColumn("late", resolve.expired(now(spark, sf_dir)))
+    merged = merged_runs(spark, sf_dir).withColumn("late", resolve.expired(now(spark, sf_dir)))
     return merged.agg(F.count("*").alias("n"), F.count_if("is_deleted").alias("tombstones"), F.count_if("late").alias("expired"))
 
 
-@query()
+#: CRC-32 of an ASCII text in DuckDB: for each character one step takes it in, and eight shift.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(x, ''), lambda c: [-1 - ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda h, s: CASE WHEN s < 0 THEN xor(h, -1 - s) WHEN h % 2 = 1 THEN xor(h // 2, 3988292384::BIGINT) ELSE h // 2 END), 4294967295::BIGINT)"""
+FILTER = FilterSize.of(SEGMENT_ROWS * 10, 0.01)
+
+
+@query(f"""
+, names AS (
+    SELECT DISTINCT segment, key, segment || ':' || key AS x FROM segments
+    UNION SELECT segment, 'user:' || c_custkey, segment || ':user:' || c_custkey FROM (SELECT DISTINCT segment FROM segments), customer WHERE c_custkey IS NOT NULL
+), hashed AS (SELECT segment, key, {CRC_SQL} AS h FROM names),
+bits AS (
+    SELECT DISTINCT segment, key, (segment % 32) * {FILTER.part_bits} + (h + i * (h >> 16)) % {FILTER.part_bits} AS bit FROM hashed, range({FILTER.probes}) r(i)
+), held AS (SELECT DISTINCT segment, key FROM segments),
+set_bits AS (SELECT DISTINCT segment, bit FROM bits SEMI JOIN held USING (segment, key)),
+asked AS (SELECT segment, key FROM bits LEFT JOIN set_bits s USING (segment, bit) WHERE key IN (SELECT 'user:' || c_custkey FROM customer) GROUP BY segment, key HAVING count(*) = count(s.bit))
+SELECT segment, count(*) AS candidates, count(h.key) AS held, count(*) - count(h.key) AS false_positives
+FROM asked a LEFT JOIN held h ON a.segment = h.segment AND a.key = h.key GROUP BY a.segment
+""".replace("SELECT segment, count(*) AS candidates", "SELECT a.segment, count(*) AS candidates").replace("count(s.bit)", "count(s.segment)"))
 def bloom_candidates(spark, sf_dir):
     """For each segment, keys of all customers that its filter can't exclude, and how many are false."""
-    size = FilterSize.of(SEGMENT_ROWS * 10, 0.01)
+    size = FILTER
     rows = segmented(spark, sf_dir).select("segment", "key")
     bits = rows.select("segment", F.explode(filter_positions(F.col("segment"), F.col("key"), size)).alias("bit")).distinct()
     probes = rows.select("segment").distinct().crossJoin(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).where("id IS NOT NULL").distinct())

@@ -1,9 +1,13 @@
 """A store of versioned keys: Parquet segments under a durable manifest.
 
 ``put`` and ``append`` write a segment of new versions to memory level (-1); ``flush`` sorts what has been appended into
-one segment of level 0; ``compact`` merges all of level 0, once there are enough, into level 1. Each commit writes a new
-manifest file and then moves the pointer, so readers pin one version and never see half a change, and a reopened store
-finds everything. Segments are range-partitioned and sorted by key, so Parquet's statistics prune point reads.
+one segment of level 0; ``compact`` merges all of level 0, once there are enough, into level 1. Merged segments are
+range-partitioned and sorted by key, so Parquet's statistics prune point reads.
+
+A commit writes the next numbered manifest under a name of its own and renames it, which fails if that number is there
+already; the newest number is the store. So readers pin one version and never see half a change, a crash between two
+steps leaves the version before, and of two writers one wins: the other reads what was committed and tries again, with
+sequence numbers after it. (Object stores without a rename need a committer that refuses to overwrite.)
 
 The manifest is small (a line a segment) and is read and written by the driver through Hadoop's file systems.
 """
@@ -11,10 +15,11 @@ The manifest is small (a line a segment) and is read and written by the driver t
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.operators import resolve
@@ -22,6 +27,7 @@ from keystrata.operators.sequential import RecentKeys
 
 SCHEMA = "key string, value string, expiry_ns long, is_deleted boolean, seq long"
 MEMORY, FIRST, MERGED = -1, 0, 1
+MANIFEST = re.compile(r"manifest-(\d+)\.json")
 
 
 @dataclass(frozen=True)
@@ -33,8 +39,28 @@ class Options:
 
     @classmethod
     def of(cls, settings: dict) -> Options:
-        """Defaults overlaid with the settings that are given."""
-        return cls(**{k: v for k, v in settings.items() if k in cls.__dataclass_fields__})
+        """Defaults overlaid with the settings that are given, under their own names or those of a configuration file."""
+        named = {SETTINGS.get(k, k): v for k, v in settings.items()}
+        return cls(**{k: v for k, v in named.items() if k in cls.__dataclass_fields__})
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Options:
+        """From a JSON file in any file system that Spark reads; settings that it lacks have their defaults."""
+        text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+        try:
+            settings = json.loads(text)
+        except ValueError as e:
+            raise ValueError(f"{path} is no JSON: {e}") from None
+        return cls.of(settings)
+
+
+# The names of these settings in a configuration file.
+SETTINGS = {
+    "maximum_memtable_size_in_bytes": "flush_bytes",
+    "level_zero_compaction_trigger_count": "compact_at",
+    "bloom_filter_false_positive_rate": "bloom_rate",
+    "key_cache_capacity_count": "cache_keys",
+}
 
 
 @dataclass(frozen=True)
@@ -84,39 +110,52 @@ class Store:
         finally:
             stream.close()
 
-    def _write(self, path: str, text: str) -> None:
-        fs, at = self._fs(path)
-        stream = fs.create(at, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-
     def _load(self) -> Manifest:
-        name = self._read(f"{self.folder}/CURRENT")
-        if name is None:
+        fs, top = self._fs(self.folder)
+        if not fs.exists(top):
+            return Manifest()
+        names = (f.getPath().getName() for f in fs.listStatus(top) if f.isFile())
+        numbers = [int(m[1]) for m in map(MANIFEST.fullmatch, names) if m]
+        if not numbers:
             return Manifest()
-        raw = json.loads(self._read(f"{self.folder}/{name}"))
+        raw = json.loads(self._read(f"{self.folder}/manifest-{max(numbers)}.json"))
         return Manifest(raw["version"], raw["next_seq"], raw["next_segment"], tuple(Segment(**s) for s in raw["segments"]))
 
-    def _commit(self, manifest: Manifest) -> None:
-        name = f"manifest-{manifest.version}.json"
-        self._write(f"{self.folder}/{name}", json.dumps(asdict(manifest)))
-        fs, to = self._fs(f"{self.folder}/CURRENT")
-        _, new = self._fs(f"{self.folder}/CURRENT.{uuid.uuid4().hex}")
-        self._write(new.toString(), name)
-        if fs.exists(to):
-            fs.delete(to, False)
-        if not fs.rename(new, to):
-            raise OSError(f"can't move {new} to {to}")
+    def _commit(self, manifest: Manifest) -> bool:
+        """Whether ``manifest`` became the next version; not if another writer's did."""
+        fs, new = self._fs(f"{self.folder}/_manifest.{uuid.uuid4().hex}")
+        stream = fs.create(new, False)
+        stream.write(bytearray(json.dumps(asdict(manifest)).encode()))
+        stream.close()
+        gateway = self.spark.sparkContext._gateway
+        plain = gateway.new_array(self._hadoop.Options.Rename, 0)
+        to = self._hadoop.Path(f"{self.folder}/manifest-{manifest.version}.json")
+        context = self._hadoop.FileContext.getFileContext(new.toUri(), self._conf)
+        try:
+            context.rename(new, to, plain)
+        except Exception as e:
+            fs.delete(new, False)
+            if "FileAlreadyExistsException" not in str(e):
+                raise
+            self.manifest = self._load()
+            return False
         self.manifest = manifest
+        return True
 
-    def _segment(self, rows: DataFrame, level: int, number: int) -> Segment:
+    def _delete(self, path: str) -> None:
+        fs, at = self._fs(path)
+        fs.delete(at, True)
+
+    def _segment(self, rows: DataFrame, level: int, number: int) -> tuple[Segment, int | None]:
+        """The written segment, and its highest sequence number; both are observed while it is written."""
         path = f"{self.folder}/L{max(level, 0)}_{number}-{uuid.uuid4().hex}"
-        ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "seq")
-        ordered.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.options.bloom_rate)).option("parquet.enable.dictionary#key", "false").parquet(path)
-        written = self.spark.read.schema(SCHEMA).parquet(path)
+        ordered = rows if level == MEMORY else rows.repartitionByRange("key").sortWithinPartitions("key", "seq")
         size = F.coalesce(F.sum(F.octet_length("key") + F.octet_length("value") + 16), F.lit(0)).cast("long")
-        n, size, low, high = written.agg(F.count("*"), size, F.min("key"), F.max("key")).first()
-        return Segment(number, level, path, n, size, low, high)
+        seen = Observation()
+        written = ordered.observe(seen, F.count("*").alias("n"), size.alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("seq").alias("last"))
+        written.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(self.options.bloom_rate)).option("parquet.enable.dictionary#key", "false").parquet(path)
+        got = seen.get
+        return Segment(number, level, path, got["n"], got["size"], got["low"], got["high"]), got["last"]
 
     # writes
 
@@ -126,12 +165,14 @@ class Store:
         A ``seq`` column of the rows is kept as the order inside the append; else ``order`` gives it. Sequence numbers of
         an append follow all before.
         """
-        now = self.manifest
         rows = rows if order is None else rows.withColumn("seq", order)
-        inside = rows.select("key", F.coalesce(F.col("value").cast("string"), F.lit("")).alias("value"), "expiry_ns", "is_deleted", (F.col("seq") + F.lit(now.next_seq)).alias("seq"))
-        made = self._segment(inside, MEMORY, now.next_segment)
-        high = self.spark.read.schema(SCHEMA).parquet(made.path).agg(F.max("seq")).first()[0]
-        self._commit(Manifest(now.version + 1, (high if high is not None else now.next_seq - 1) + 1, now.next_segment + 1, (*now.segments, made)))
+        while True:
+            now = self.manifest
+            inside = rows.select("key", F.coalesce(F.col("value").cast("string"), F.lit("")).alias("value"), "expiry_ns", "is_deleted", (F.col("seq") + F.lit(now.next_seq)).alias("seq"))
+            made, last = self._segment(inside, MEMORY, now.next_segment)
+            if self._commit(Manifest(now.version + 1, now.next_seq if last is None else last + 1, now.next_segment + 1, (*now.segments, made))):
+                break
+            self._delete(made.path)
         self.counters["writes"] += made.rows
         if sum(s.bytes for s in self.manifest.at(MEMORY)) >= self.options.flush_bytes:
             self.flush()
@@ -168,14 +209,25 @@ class Store:
         merged = resolve.latest(self._scan(taken))
         if purge_at_ns is not None:
             merged = merged.where(~F.col("is_deleted") & ~resolve.expired(F.lit(purge_at_ns)))
-        made = self._segment(merged, target, now.next_segment)
-        kept = tuple(s for s in now.segments if s not in taken)
-        self._commit(Manifest(now.version + 1, now.next_seq, now.next_segment + 1, (*kept, made)))
+        made, _ = self._segment(merged, target, now.next_segment)
+        return self._publish(made, taken)
+
+    def _publish(self, made: Segment, taken: list[Segment]) -> Manifest:
+        """A merged segment in place of those it was made from, beside what other writers have committed meanwhile. If one
+        of those is gone, another writer has merged it, and the merge is dropped."""
+        while set(taken) <= set(self.manifest.segments):
+            now = self.manifest
+            own = Segment(now.next_segment, made.level, made.path, made.rows, made.bytes, made.min_key, made.max_key)
+            if self._commit(Manifest(now.version + 1, now.next_seq, now.next_segment + 1, (*(s for s in now.segments if s not in taken), own))):
+                return self.manifest
+        self._delete(made.path)
         return self.manifest
 
     def vacuum(self) -> list[str]:
-        """Deletes segments that the current manifest doesn't name; no reader may hold an older one."""
+        """Deletes segments that the newest manifest doesn't name; no reader may hold an older one, and no writer may be
+        at work."""
         fs, top = self._fs(self.folder)
+        self.manifest = self._load()
         named = {s.path.rsplit("/", 1)[1] for s in self.manifest.segments}
         gone = [f.getPath() for f in fs.listStatus(top) if f.isDirectory() and f.getPath().getName() not in named]
         for path in gone:

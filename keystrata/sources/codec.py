@@ -94,8 +94,9 @@ def encode_log(log: DataFrame, file: Column, file_bytes: int = 64 << 20) -> Data
     return _encoded(rows.repartition("file").sortWithinPartitions("file", "seq"), log_record, file_bytes)
 
 
-def encode_segments(rows: DataFrame, file_bytes: int = 1 << 30) -> DataFrame:
-    """Segment files' contents from (segment, key, ...): sorted by key, one row a segment."""
+def encode_segments(rows: DataFrame, file_bytes: int = 64 << 20) -> DataFrame:
+    """Segment files' contents from (segment, key, ...): sorted by key, one row a segment or, of
+    larger ones, a part of it."""
     rows = rows.withColumnRenamed("segment", "file")
     return _encoded(rows.repartition("file").sortWithinPartitions("file", "key"), segment_record, file_bytes)
 

@@ -21,8 +21,9 @@ def unix_nanos(ts: Column) -> Column:
     return (since.cast("interval second").cast("decimal(20, 6)") * F.lit(1_000_000).cast("decimal(8, 0)")).cast("long") * 1_000
 
 
-def event_log(events: DataFrame) -> DataFrame:
-    """key, value, expiry_ns, is_deleted, seq: errors delete, sign-ups live for a day, all else is put for good."""
+def event_log(events: DataFrame, *more: str) -> DataFrame:
+    """key, value, expiry_ns, is_deleted, seq and ``more`` columns: errors delete, sign-ups live for a day, all else is put
+    for good."""
     deleted = F.col("event_type") == "error"
     return events.select(
         F.concat(F.lit("user:"), F.col("user_id")).alias("key"),
@@ -30,6 +31,7 @@ def event_log(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "signup", unix_nanos(F.col("ts")) + F.lit(DAY_NS)).otherwise(F.lit(0).cast("long")).alias("expiry_ns"),
         deleted.alias("is_deleted"),
         F.col("event_id").alias("seq"),
+        *more,
     )
 
 

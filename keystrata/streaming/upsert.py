@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from keystrata.operators import resolve
 from keystrata.plans.store import Store
 
+#: State is kept on the executors' disks and in the checkpoint, not in their heaps: it grows with the keys.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COLUMNS = ["key", "value", "expiry_ns", "is_deleted", "seq"]
 
 
@@ -25,7 +28,13 @@ def run_upsert(stream: DataFrame, folder: str, checkpoint: str) -> None:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    query = newest(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER)
+    conf.set(PROVIDER, ON_DISK)
+    try:
+        query = newest(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    finally:
+        conf.set(PROVIDER, before)
     query.awaitTermination()
     if query.exception():
         raise RuntimeError(str(query.exception()))
@@ -48,8 +57,14 @@ def read_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share, or in a temporary one where none is set."""
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint
+    folder; a temporary one only with a local master, where all are one process."""
+    import re
     import tempfile
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="keystrata-")
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="keystrata-")
     return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -27,7 +27,10 @@ def test_fnv(spark):
 def test_filter_size():
     size = FilterSize.of(10_000_000, 0.01)
     assert (size.bits, size.probes, size.part_bits) == (95_850_584, 7, 2_995_331)
-    assert FilterSize.of(0, 0.01).bits == 64
+    # no keys or no rate: the defaults; few keys: the probes of the optimum, though the bits are raised
+    assert FilterSize.of(0, 0.01) == FilterSize.of(1000, 0.01) == FilterSize.of(-3, 0) and FilterSize.of(0, 0.01).bits == 9586
+    assert [(FilterSize.of(n, 0.01).bits, FilterSize.of(n, 0.01).probes) for n in (1, 3, 100)] == [(64, 7), (64, 7), (959, 7)]
+    assert FilterSize.of(1000, 0.5).probes == 1
 
 
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
@@ -49,10 +52,22 @@ def test_recent_keys():
     assert cache.get("k1") is None and cache.get("k3") == 3
 
 
+def cached(spark, ops, capacity):
+    rows = sequential.simulate_cache(spark.createDataFrame([(i, *o) for i, o in enumerate(ops)], "seq long, key string, is_read boolean, is_live boolean"), capacity).collect()
+    return [(r["hit"], r["evicted"]) for r in rows]
+
+
 def test_cache_simulation(spark):
     ops = [("a", True), ("a", True), ("b", True), ("c", True), ("a", True), ("c", False), ("c", True)]
-    rows = sequential.simulate_cache(spark.createDataFrame([(i, *o) for i, o in enumerate(ops)], "seq long, key string, is_read boolean"), 2).collect()
-    assert [(r["hit"], r["evicted"]) for r in rows] == [(False, None), (True, None), (False, None), (False, "a"), (False, "b"), (False, None), (False, None)]
+    assert cached(spark, [(*o, True) for o in ops], 2) == [(False, None), (True, None), (False, None), (False, "a"), (False, "b"), (False, None), (False, None)]
+
+
+def test_what_is_not_live_fills_no_cache(spark):
+    ops = [("a", True, False), ("a", True, False), ("b", True, True), ("c", True, True), ("a", True, False), ("b", True, True)]
+    assert cached(spark, ops, 2) == [(False, None), (False, None), (False, None), (False, None), (False, None), (True, None)]
+    # an entry that expires is dropped by the read that finds it so, and frees its place
+    ops = [("a", True, True), ("b", True, True), ("a", True, False), ("c", True, True), ("b", True, True)]
+    assert cached(spark, ops, 2) == [(False, None), (False, None), (False, None), (False, None), (True, None)]
 
 
 def test_rotation(spark):
@@ -68,6 +83,19 @@ def test_running_sums(spark):
     assert {r["i"]: r["offset"] for r in got} == {i: sum(values[:i]) for i in range(500)}
 
 
+def test_running_sums_over_groups_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(accounting, "BLOCKS", 3)
+    df = spark.range(300).withColumnRenamed("id", "i")
+    got = accounting.running_before(df, F.col("i") % 7, "i", F.floor(F.col("i") / 8)).collect()
+    assert {r["i"]: r["offset"] for r in got} == {i: sum(j % 7 for j in range(i)) for i in range(300)}
+
+
+def test_statistics_of_a_long_tail(spark):
+    x = [float(i) for i in range(400)] + [1e300]
+    got = accounting.sample_statistics(spark.createDataFrame([(v,) for v in x], "v double"), "v", 32).first()
+    assert (got["median"], got["p95"], got["p99"], got["most"]) == (200.0, 380.0, 396.0, 1e300)
+
+
 @pytest.mark.parametrize("n", [1, 2, 20, 21, 101, 250])
 def test_sample_statistics(spark, n):
     x = [round(random.Random(n).gauss(5, 3), 1) for _ in range(n)]

@@ -74,6 +74,47 @@ def test_options_overlay():
     assert Options.of({"compact_at": 2, "unknown": 1}) == Options(compact_at=2)
 
 
+def test_settings_from_a_file(spark, tmp_path):
+    (tmp_path / "config.json").write_text('{\n "maximum_memtable_size_in_bytes": 10, "key_cache_capacity_count": 3,\n "server_port": 8080, "bloom_filter_false_positive_rate": 0.05}')
+    assert Options.read(spark, str(tmp_path / "config.json")) == Options(flush_bytes=10, cache_keys=3, bloom_rate=0.05)
+    (tmp_path / "bad.json").write_text("{bad}")
+    with pytest.raises(ValueError):
+        Options.read(spark, str(tmp_path / "bad.json"))
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    for i in range(3):
+        one.put(f"a{i}", "1")
+        two.put(f"b{i}", "2")  # was opened before the other's commit: it tries again after it
+    one.put("same", "old")
+    two.put("same", "new")
+    assert state(Store(spark, str(tmp_path / "s"))) == {"a0": "1", "a1": "1", "a2": "1", "b0": "2", "b1": "2", "b2": "2", "same": "new"}
+    assert two.manifest.version == 8 and len({s.segment_id for s in two.manifest.segments}) == 8
+
+
+def test_a_merge_keeps_what_others_commit_and_gives_way_to_another_merge(spark, tmp_path):
+    one = Store(spark, str(tmp_path / "s"))
+    one.put("a", "1")
+    one.put("a", "2")
+    two = Store(spark, str(tmp_path / "s"))
+    two.put("b", "3")
+    one.flush()  # of the two it knows; the third stays
+    assert state(Store(spark, str(tmp_path / "s"))) == {"a": "2", "b": "3"} and len(one.manifest.at(0)) == 1 and len(one.manifest.at(-1)) == 1
+    stale = Store(spark, str(tmp_path / "s"))
+    two = Store(spark, str(tmp_path / "s"))
+    two.compact(force=True)
+    stale.compact(force=True)
+    assert state(Store(spark, str(tmp_path / "s"))) == {"a": "2", "b": "3"} and len(stale.manifest.at(1)) == 1
+
+
+def test_a_crash_before_the_rename_leaves_the_version_before(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.put("a", "1")
+    (tmp_path / "s" / "_manifest.half").write_text('{"version": 2')
+    assert state(Store(spark, str(tmp_path / "s"))) == {"a": "1"}
+
+
 def test_batches_metrics_and_the_key_cache(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), Options(cache_keys=2))
     store.put_batch([{"key": "a", "value": "1"}, {"key": "b"}, {"key": "a", "value": "2", "ttl": 1}])
