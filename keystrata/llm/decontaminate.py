@@ -5,15 +5,19 @@ found with at most k edits, k = ``EDITS`` of m (less for short items, so that th
 at most k edits shares at least m - q + 1 - k q of the item's q-grams, on diagonals that differ by at most k. A task
 looks up all q-grams of its documents in the items' index, counts hits by item and band of diagonals (bands of twice
 k + 1 diagonals, k + 1 apart, so the diagonals of every such region lie whole in one), and aligns the item with the
-regions whose count meets the bound, in a band. Every region within the budget is found.
+regions whose count meets the bound, in a band. Every region within the budget is found. Items of fewer than q
+characters allow no edit and are found verbatim, as whole words. Of items of more than ``LONG`` characters, windows of
+``WINDOW``, half of that apart, are looked for beside the whole, each with its own budget, so that a document that holds
+a long part of an item is found as well.
 
 Scale: one pass over the documents, without a shuffle, whatever the number of documents that share a passage. The index
 goes to the tasks in slices of at most ``SLICE_CHARS`` characters of benchmark text (16 bytes each); a larger benchmark
 takes further passes. Hits are expanded in portions of at most ``PORTION``.
 
-Defined results: null or empty documents match nothing; items of null text or of fewer than q canonical characters
-take no part; null ids are carried; repeated documents give repeated rows, repeated items (same id and text) count
-once; a region is reported once an item, at its least number of edits. Other columns are carried by the filter.
+Defined results: null or empty documents match nothing; items of null text or without a letter or digit take no part;
+null ids are carried; repeated documents give repeated rows, repeated items (same id and text) count
+once; a region is reported once an item, at its least number of edits; windows that overlap are one region, at the most
+edits of one of them, and are left out where the whole item is found. Other columns are carried by the filter.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import table, text_slices
 
-Q, EDITS, SLICE_CHARS, PORTION = 10, 0.08, 4_000_000, 2_000_000
+Q, EDITS, WINDOW, LONG, SLICE_CHARS, PORTION = 10, 0.08, 100, 300, 4_000_000, 2_000_000
 _OTHER = re.compile(r"[\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 22
@@ -39,6 +43,19 @@ def canonical(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
+def windows(text: str, size: int = WINDOW, long: int = LONG) -> list[str]:
+    """Of a text of more than ``long`` characters, windows of whole words, each half a window after the one before."""
+    out, at = [], 0
+    while len(text) > long:
+        end = text.find(" ", at + size)
+        if end < 0:
+            out.append(text[text.rfind(" ", 0, len(text) - size) + 1 :])
+            break
+        out.append(text[at:end])
+        at = text.find(" ", at + size // 2) + 1
+    return out
+
+
 def budget(m: int, q: int = Q, edits: float = EDITS) -> int:
     """Edits allowed to an item of m characters: the share, or as many as leave the lemma's bound at 1 or more."""
     return max(0, min(int(edits * m), (m - q) // q))
@@ -92,6 +109,8 @@ class Index:
     """The q-grams of a slice of the benchmark."""
 
     ids: list
+    parts: list[bool]  # whether an entry is a window of its item
+    short: object | None  # an automaton of the short items
     texts: list[str]
     codes: list[np.ndarray]
     lengths: np.ndarray
@@ -105,8 +124,23 @@ class Index:
 
     @classmethod
     def build(cls, rows: list[tuple], q: int = Q, edits: float = EDITS) -> Index:
-        texts = sorted({(i, canonical(t)) for i, t in rows if t is not None}, key=lambda r: (r[0] is None, r[0], r[1]))
-        texts = [(i, t) for i, t in texts if len(t) >= q]
+        every = sorted({(i, canonical(t)) for i, t in rows if t is not None}, key=lambda r: (r[0] is None, r[0], r[1]))
+        short: dict[str, list] = {}
+        for i, t in every:
+            if 0 < len(t) < q:
+                short.setdefault(f" {t} ", []).append(i)
+        automaton = None
+        if short:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for t, of in short.items():
+                automaton.add_word(t, (len(t) - 2, of))
+            automaton.make_automaton()
+        whole = [(i, t, False) for i, t in every if len(t) >= q]
+        texts = [*whole, *((i, w, True) for i, t, _ in whole for w in dict.fromkeys(windows(t)))]
+        parts = [p for _, _, p in texts]
+        texts = [(i, t) for i, t, _ in texts]
         found = [grams(t, q) for _, t in texts]
         flat = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
         items = np.repeat(np.arange(len(found)), [len(f) for f in found]).astype(np.int32)
@@ -116,14 +150,24 @@ class Index:
         mark = np.zeros(1 << _TABLE_BITS, dtype=bool)
         mark[(hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
         lengths = np.array([len(t) for _, t in texts], dtype=np.int64)
-        return cls([i for i, _ in texts], [t for _, t in texts], [_code(t) for _, t in texts], lengths, np.array([budget(int(m), q, edits) for m in lengths], dtype=np.int64), q, hashes, np.append(starts, len(flat)), items[order], places[order], mark)
+        return cls([i for i, _ in texts], parts, automaton, [t for _, t in texts], [_code(t) for _, t in texts], lengths, np.array([budget(int(m), q, edits) for m in lengths], dtype=np.int64), q, hashes, np.append(starts, len(flat)), items[order], places[order], mark)
 
     def regions(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text, (item id, start, end, edits) of all regions, in canonical text."""
-        out: list[list[tuple]] = [[] for _ in texts]
+        plain = [canonical(t) for t in texts]
+        return [long + self.short_regions(t) for long, t in zip(self.long_regions(plain), plain, strict=True)]
+
+    def short_regions(self, text: str) -> list[tuple]:
+        """Where short items stand as whole words."""
+        if self.short is None or not text:
+            return []
+        found = ((i, end - 1 - n, end - 1) for end, (n, of) in self.short.iter(f" {text} ") for i in of)
+        return [(i, start, end, 0) for i, start, end in found]
+
+    def long_regions(self, plain: list[str]) -> list[list[tuple]]:
+        out: list[list[tuple]] = [[] for _ in plain]
         if not len(self.hashes):
             return out
-        plain = [canonical(t) for t in texts]
         # one string: q-grams over a line end match nothing
         begins = np.cumsum([0, *(len(t) + 1 for t in plain)])
         flat = grams("\n".join(plain), self.q)
@@ -184,7 +228,20 @@ class Index:
                 found.append((start, end, edits))
             elif edits < found[same][2]:
                 found[same] = (start, end, edits)
-        return [(self.ids[item], *region) for item, found in sorted(best.items()) for region in found]
+        whole = [(self.ids[item], *region) for item, found in sorted(best.items()) if not self.parts[item] for region in found]
+        taken: dict = {}
+        for i, start, end, _ in whole:
+            taken.setdefault(i, []).append((start, end))
+        joined: dict = {}
+        for i, start, end, edits in sorted(((self.ids[item], *r) for item, found in best.items() if self.parts[item] for r in found), key=lambda r: r[1]):
+            if any(start < e and s < end for s, e in taken.get(i, ())):
+                continue
+            own = joined.setdefault(i, [])
+            if own and start < own[-1][1]:
+                own[-1] = (own[-1][0], max(end, own[-1][1]), max(edits, own[-1][2]))
+            else:
+                own.append((start, end, edits))
+        return whole + [(i, *r) for i, found in joined.items() for r in found]
 
 
 def places_of(item: str, text: str) -> list[int]:

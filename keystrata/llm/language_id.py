@@ -5,9 +5,9 @@ to length one. Families are found in the training rows: languages' mean vectors
 tree is cut at its widest gap. One linear SVM a family (against the rest) chooses the family; inside it a linear SVM for
 each pair of languages votes.
 
-Learning takes a bounded sample of labelled rows (``TRAIN_ROWS`` over all languages, chosen by a digest of the row);
-counts of labels cover all rows. Prediction is one pass over the rows without a shuffle; the model is a few vectors a
-language, at most ``MAX_LANGUAGES`` languages, and goes to the tasks with the function.
+Learning takes a bounded sample of labelled rows (``TRAIN_ROWS`` over all languages and ``LEAST_ROWS`` of each at least,
+the first by a digest of text and id); counts of labels cover all rows, and every language is learned. Prediction is one
+pass over the rows without a shuffle; the model is a few vectors a language and goes to the tasks with the function.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; a null id is never held out and never
 learned from; with nothing to learn from, every text is ``und``; with one language, every text with letters is it, with
@@ -16,7 +16,6 @@ score 1; ties go to the language that sorts first; repeated rows give repeated r
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table, text_slices
 
-#: Buckets of hashed features; rows to learn from over all languages; languages at most, the commonest.
-BUCKETS, TRAIN_ROWS, MAX_LANGUAGES = 4096, 2000, 256
-LETTER = re.compile(r"[^\W\d_]")
+#: Buckets of hashed features; rows to learn from over all languages, and of each at least.
+BUCKETS, TRAIN_ROWS, LEAST_ROWS = 4096, 2000, 8
 #: ASCII that is no letter becomes a space; other bytes stay.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -126,7 +125,7 @@ class Model:
                     sure[:, j] += 1 - p
             best = (votes + sure / (2 * len(members))).argmax(1) if len(members) > 1 else np.zeros(len(rows), dtype=np.int64)
             for k, (r, b) in enumerate(zip(rows, best, strict=True)):
-                if texts[r] and LETTER.search(texts[r]):
+                if texts[r] and any(map(str.isalpha, texts[r])):
                     inside = sure[k, b] / (len(members) - 1) if len(members) > 1 else 1.0
                     out[r] = (self.languages[members[b]], float(chance[r] * inside))
         return out
@@ -153,21 +152,24 @@ def train(x: np.ndarray, labels: list[str]) -> Model:
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
     """Learns from a sample of the rows with a label, about as many of each language."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return train(np.zeros((0, BUCKETS), dtype=np.float32), [])
-    each = max(8, train_rows // len(counts))
-    share: Column = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, each / n) * (1 << 30)))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("text", "id"), F.lit(1 << 30)) < share)
+    each = max(LEAST_ROWS, train_rows // languages)
+    # rows with small digests, about twice as many as are wanted; then the first of each language, whichever tasks hold them
+    digest = F.pmod(F.xxhash64("text", "id"), F.lit(1 << 30))
+    share = counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), 2 * each / F.col("n") + 8 / F.col("n")).alias("share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "id", "text"))
+    near = rows.withColumn("digest", digest).join(share, F.col("lang") == F.col("of")).where(F.col("digest") < F.col("share") * (1 << 30))
+    chosen = near.withColumn("place", place).where(F.col("place") <= each)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
             x = features(piece.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([piece.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    found = chosen.select("lang", "text").mapInArrow(extract, "lang string, x binary").limit(2 * train_rows + 8 * len(counts)).toArrow()
+    found = chosen.select("lang", "text").mapInArrow(extract, "lang string, x binary").toArrow()
     pairs = sorted(zip(found.column("lang").to_pylist(), found.column("x").to_pylist(), strict=True))
     x = np.frombuffer(b"".join(p[1] for p in pairs), dtype=np.float32).reshape(-1, BUCKETS)
     return train(x, [p[0] for p in pairs])

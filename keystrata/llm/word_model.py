@@ -43,7 +43,7 @@ SPACE, LETTER, MARK, SINGLE = range(4)
 BEGIN, END, REPEAT = 1, 2, 3
 #: Parts that counting, joining the values of one of those, and looking up are done in; share of all counts from which a key is looked up at
 #: the texts; symbols of a slice at most (but for a longer text).
-COUNT_ROUNDS, VALUE_ROUNDS, ROUNDS, HEAVY, SLICE_SYMBOLS = 2, 2, 3, 1 << 20, 1_500_000
+COUNT_ROUNDS, VALUE_ROUNDS, ROUNDS, HEAVY, SLICE_SYMBOLS = 2, 2, 3, 1 << 20, 1_000_000
 #: Bits of a key; of a text's place in its slice; values are kept in steps of 1 / STEPS; keys of a range at most.
 KEY_BITS, PLACE_BITS, STEPS, RANGE_KEYS = 50, 12, 1024, 16_000_000
 
@@ -131,7 +131,7 @@ def count_pairs(texts: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
     """(model, b, c, n) over all rows of (model, text), for those first words that fall into a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_slices(batches):
+        for piece in text_slices(batches, chars=2_000_000):
             flat, counts = word_names(piece.column("text").to_pylist())
             model = np.repeat(piece.column("model").to_numpy(), counts)
             doc = np.repeat(np.arange(len(counts)), counts)
@@ -262,7 +262,7 @@ def entry_grams(flat: np.ndarray, counts: np.ndarray, models: list[list[int]]) -
 def text_groups(batches: Iterator[pa.RecordBatch], models_of: Callable[[str | None, int | None], list[int]]) -> Iterator[tuple]:
     """Names, lengths and models of as many texts as make a slice, with their keys."""
     held, symbols, entries = [], 0, 0
-    for piece in text_slices(batches):
+    for piece in text_slices(batches, chars=2_000_000):
         flat, counts = word_names(piece.column("text").to_pylist())
         names = [models_of(lang, half) for lang, half in zip(piece.column("lang").to_pylist(), piece.column("half").to_pylist(), strict=True)]
         more = sum(map(len, names))
@@ -338,7 +338,7 @@ def costs(texts: DataFrame, model: WordModel, models_of: Callable[[str | None, i
 
             for batch in batches:
                 held.append((batch.column("key").to_numpy().astype(np.uint64), batch.column("value").to_numpy()))
-                if sum(len(k) for k, _ in held) > 4_000_000:
+                if sum(len(k) for k, _ in held) > 1_000_000:
                     yield out()
             if held:
                 yield out()

@@ -370,6 +370,20 @@ def test_decontamination_tables(spark):
     assert decontaminate.contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_short_items_and_parts_of_long_ones():
+    pick = random.Random(12)
+    long = decontaminate.canonical(prose(pick, 90))
+    index = decontaminate.Index.build([(1, "the cat"), (2, "Abcdefgh"), (3, "!?"), (4, long), (5, "the cat")])
+    half = long[len(long) // 4 : 3 * len(long) // 4]
+    texts = ["So the CAT, the cat!", "xabcdefgh abcdefghx", "abcdefgh", "", None, f"before {half} after", f"before {long} after", prose(pick, 40) + " " + long[100:270], prose(pick, 40) + " " + long[:90]]
+    found = index.regions(texts)
+    assert sorted(found[0]) == [(1, 3, 10, 0), (1, 11, 18, 0), (5, 3, 10, 0), (5, 11, 18, 0)]
+    assert found[1] == found[3] == found[4] == [] and found[2] == [(2, 0, 8, 0)]
+    assert [r[0] for r in found[5]] == [4] and found[5][0][2] - found[5][0][1] >= 150
+    assert found[6] == [(4, 7, 7 + len(long), 0)] and [r[0] for r in found[7]] == [4] and found[8] == []
+    assert decontaminate.windows(long[:300]) == [] and all(len(w) >= 100 and w in long for w in decontaminate.windows(long))
+
+
 # passages
 
 
@@ -649,6 +663,56 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_id_of_odd_rows(spark):
+    data = [("schung lich ein", "aa"), ("ção mente que", "ba")] * 30
+    docs = spark.createDataFrame([(7, t, lang) for t, lang in data] + [(8, "½ ² Ⅷ 12", None), (9, "日本", None), (10, "_ ¾", "aa")], "doc_id long, text string, lang string")
+    first = language_id.fit(docs.repartition(5), train_rows=10)
+    again = language_id.fit(docs.repartition(2), train_rows=10)
+    assert all((first.pairs[k] == again.pairs[k]).all() for k in first.pairs) and (first.family == again.family).all()
+    got = {(r["doc_id"], r["lang_pred"]) for r in language_id.predict(docs, first).collect()}
+    assert {(7, "aa"), (7, "ba"), (8, "und"), (10, "und")} <= got and (9, "und") not in got
+    assert language_id.predict(docs.where("false"), first).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    pick = random.Random(3)
+    docs = spark.createDataFrame([(i * 400 + n, f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i)} {pick.choice(WORDS)}", f"l{i}") for i in range(300) for n in range(2)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs.limit(40))
+    assert len(model.languages) == docs.limit(40).select("lang").distinct().count()
+    counted = docs.groupBy("lang").count().count()
+    assert counted == 300 and not hasattr(language_id, "MAX_LANGUAGES")
+
+
+def plain_language(texts, model):
+    """Predictions one text at a time: the family with the largest margin, then votes of the pairs."""
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            out.append("und")
+            continue
+        x = np.append(language_id.features([t])[0], 1.0)
+        group = model.groups[int(np.argmax([x @ w for w in model.family]))] if len(model.groups) > 1 else model.groups[0]
+        votes = {m: 0.0 for m in group}
+        for i, a in enumerate(group):
+            for b in group[i + 1 :]:
+                p = 1 / (1 + math.exp(-4 * max(-15, min(15, float(x @ model.pairs[a, b])))))
+                votes[a] += (p >= 0.5) + p / (2 * len(group))
+                votes[b] += (p < 0.5) + (1 - p) / (2 * len(group))
+        out.append(model.languages[max(group, key=lambda m: (votes[m], -m))])
+    return out
+
+
+def test_language_id_equals_a_plain_version_on_a_whole_table(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path)
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    rows = docs.select("doc_id", "text").collect()
+    want = dict(zip([r["doc_id"] for r in rows], plain_language([r["text"] for r in rows], model), strict=True))
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()} == want
+
+
 def test_language_id_of_little(spark):
     none = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language_id.predict(none, language_id.fit(none)).first()["lang_pred"] == "und"
