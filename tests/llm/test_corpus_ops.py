@@ -740,11 +740,30 @@ def test_top_k(spark):
     data += [(400, None), (405, [1.0, None, 2.0]), (410, [float("nan")] * 6), (415, [float("inf")] * 6), (420, []), (425, [1.0, 2.0]), (None, data[0][1])]
     vectors = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).repartition(3)
     want = plain_top_k(data, 5, 5)
-    for pivots, block, queries in ((64, 16384, 4096), (4, 20, 7), (1, 50, 16)):
-        found = topk_search.top_k(vectors, F.col("vec_id") % 5 == 0, 5, pivots=pivots, data_block=block, query_block=queries)
+    for pivots, block in ((64, 16384), (4, 20), (1, 50)):
+        found = topk_search.top_k(vectors, F.col("vec_id") % 5 == 0, 5, pivots=pivots, data_block=block)
         assert sorted(map(tuple, found.collect())) == want
 
 
+def test_top_k_of_clusters_leaves_cells_out(spark):
+    pick = np.random.default_rng(3)
+    heart = pick.normal(0, 3, (20, 8))
+    data = [(i, (heart[i % 20] + pick.normal(0, 0.05, 8)).astype(np.float32).tolist()) for i in range(800)]
+    data += [(i % 100 + 1000, data[i][1]) for i in range(600)]  # every id six times
+    vectors, tally = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3), {}
+    found = topk_search.top_k(vectors, F.col("vec_id") % 40 == 0, 5, data_block=64, tally=tally)
+    best = {}
+    ok = [(i, np.floor(256 * np.float64(np.float32(v)))) for i, v in data]
+    for q, a in ok:
+        if q % 40 == 0:
+            for i, b in ok:
+                if i != q:
+                    best.setdefault(q, {})[i] = max(best.get(q, {}).get(i, -(10**18)), int(a @ b))
+    want = sorted((q, n, i, s) for q, found_ in best.items() for n, (s, i) in enumerate(sorted(((s, i) for i, s in found_.items()), key=lambda x: (-x[0], x[1]))[:5], 1))
+    assert sorted(map(tuple, found.collect())) == want
+    assert tally["queries_kept"] < 0.35 * tally["queries"] and tally["groups_kept"] < 0.6 * tally["groups"]
+
+
 def test_top_k_of_few_rows_and_repeated_ids(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0]), (1, [0.5]), (2, [1.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, topk_search.top_k(few, F.col("vec_id") == 0).collect()))
