@@ -130,8 +130,8 @@ def plan_mix(
     return placed.withColumn("_mix_taken", total).drop("_mix_source", "_mix_digest", "_mix_bucket", "_mix_s", "_mix_b", "_mix_before", "_mix_start", "_mix_schedule")
 
 
-def training_order(planned: DataFrame, whole: bool = True) -> DataFrame:
-    """A row for each time a document is taken, range-sorted by training position.
+def training_order(planned: DataFrame, whole: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each time a document is taken, range-sorted by training position, ties by id and a digest of the text.
 
     ``whole``: documents are not cut; the one on a target's edge is taken if at least half of it lies inside.
     """
@@ -139,8 +139,8 @@ def training_order(planned: DataFrame, whole: bool = True) -> DataFrame:
     if whole:
         taken = taken.where(2 * F.col("_mix_take.words") >= F.col("_mix_size"))
     kept = [c for c in planned.columns if not c.startswith("_mix_")]
-    taken = taken.select(*kept, F.col("_mix_take.position").alias("_mix_position"))
-    return taken.orderBy("_mix_position").drop("_mix_position")
+    taken = taken.select(*kept, F.col("_mix_take.position").alias("_mix_position"), F.xxhash64(text_col).alias("_mix_digest"))
+    return taken.orderBy("_mix_position", id_col, "_mix_digest").drop("_mix_position", "_mix_digest")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +151,9 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_mix_source_size").alias("source_size"),
         F.col("_mix_target").alias("target"),
         F.col("_mix_taken").alias("taken"),
-        F.get(F.col("_mix_takes"), F.lit(0))["position"].alias("position"),
+        F.round(F.get(F.col("_mix_takes"), F.lit(0))["position"], 6).alias("position"),
     )
-    return ordered.orderBy(F.col("position").asc_nulls_last(), "doc_id").drop("position")
+    return ordered.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 ORACLE_SQL = r"""
@@ -179,12 +179,16 @@ WITH sized AS (
            least(cap, coalesce(w * max(CASE WHEN level * w < cap THEN level END) OVER (), cap)) AS target
     FROM levels
 ), placed AS (
-    SELECT doc_id, source, size,
+    SELECT doc_id, source, size, (SELECT count(*) FROM sources s WHERE s.source < sized.source OR s.source IS NOT NULL AND sized.source IS NULL) % 3 AS schedule,
            CAST(sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
     FROM sized
 )
 SELECT doc_id, size, source_size, target,
        greatest(0, least(size, CAST(floor(target) AS BIGINT) - start))
-       + greatest(0, least(size, CAST(floor(target) AS BIGINT) - start - source_size)) AS taken
+       + greatest(0, least(size, CAST(floor(target) AS BIGINT) - start - source_size)) AS taken,
+       round(CASE WHEN size > 0 AND floor(target) > start THEN
+           CASE schedule WHEN 0 THEN 10 * (start / target) / (7 + sqrt(49 - 40 * (start / target)))
+                         WHEN 1 THEN start / target
+                         ELSE 2 * (start / target) / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * (start / target))) END END, 6) AS position
 FROM placed JOIN goals ON placed.source IS NOT DISTINCT FROM goals.source
 """

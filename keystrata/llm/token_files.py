@@ -11,22 +11,24 @@ texts go to the library's tokenizer. Ids are those of the tokenizer over the who
 
 Defined results: null text is empty and has only the end id; a null document id comes first; repeated ids are ordered
 by text, null first, and each keeps its own row; an empty table writes no file and gives no rows; other columns are not
-read. A hot source or group of copies doesn't matter: rows are dealt by document id.
+read. With an ``order``, such as that of the rows in the files they come from (``as_read``), files follow it instead. A
+hot source or group of copies doesn't matter: rows are dealt by document id.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +44,17 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ \\n\\t\\r]*")
 PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \\n\\t\\r]+")
 
 
+# How the tokenizer that these rules hold for normalizes and cuts texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others by
     the letters from 256 on."""
@@ -60,9 +73,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.cuts = self._cuts_so()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
 
+    def _cuts_so(self) -> bool:
+        """Whether this tokenizer lower-cases and cuts texts as ``PLAIN_WORDS`` does; of others, whole texts are encoded."""
+        own = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in own["added_tokens"]]
+        return own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == PRE_TOKENIZER and all(a.startswith("<|") for a in added) and own["model"].get("type") == "BPE"
+
     def plain(self, words: list[list[str]]) -> list[bytes]:
         """Ids of texts that are cut into words already; new words go to the library's model."""
         known = self.words
@@ -98,6 +118,8 @@ class Encoder:
         if len(self.pieces) > CACHE_WORDS:
             self.pieces = {"": b""}
         texts = [t or "" for t in texts]
+        if not self.cuts:
+            return [np.array(f.ids, dtype="<u4") for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         easy = ["<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
         plain = iter(self.plain([PLAIN_WORDS.findall(t.lower()) for t, e in zip(texts, easy, strict=True) if e]))
         other = iter(self.other([t for t, e in zip(texts, easy, strict=True) if not e]))
@@ -118,8 +140,9 @@ def _uri(path: str) -> str:
     return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
-    """Writes the files into ``folder``; gives a row a file: file, part, place, n_docs, n_ids."""
+def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_ids: int = FILE_IDS, order: Sequence[Column] = ()) -> DataFrame:
+    """Writes the files into ``folder``, by document id or in another order; gives a row a file: file, part, place, n_docs,
+    n_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -153,8 +176,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
         if ids:
             yield flush()
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(c.alias(f"_order{i}") for i, c in enumerate(order)))
+    # of the text, its beginning deals out repeated ids as well; it sorts as the text does
+    keys = [f"_order{i}" for i in range(len(order))] or ["doc_id", F.substring("text", 1, 64)]
+    ordered = own.repartitionByRange(*keys).sortWithinPartitions(*(keys if order else ["doc_id", "text"])).select("doc_id", "text")
     return materialize(ordered.mapInArrow(run, "file string, part int, place int, n_docs long, n_ids long"), "token-manifest")
 
 
@@ -185,10 +210,17 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFr
     return rows.join(starts, "file").select("doc_id", (F.col("file_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def as_read(docs: DataFrame) -> tuple[Column, ...]:
+    """The order of the rows in the files that ``docs`` was read from: numbers of part and file, and place in it."""
+    name, row = docs["_metadata.file_name"], docs["_metadata.row_index"]
+    part, file = (F.coalesce(F.regexp_extract(name, p, 1).try_cast("long"), F.lit(0).cast("long")) for p in (r"^part-(\d+)", r"-c(\d+)"))
+    return part, file, name, row
+
+
+def token_files(docs: DataFrame, tokenizer_path: str, order: Sequence[Column] = ()) -> DataFrame:
     """Writes all documents to files in the shared folder and reads them back."""
     folder = scratch(docs.sparkSession, "tokens")
-    return read_tokens(docs.sparkSession, write_tokens(docs, tokenizer_path, folder), folder)
+    return read_tokens(docs.sparkSession, write_tokens(docs, tokenizer_path, folder, order=order), folder)
 
 
 def tokenizer_path() -> str:

@@ -70,13 +70,42 @@ def test_mix_takes_whole_documents(stages):
         assert abs(sum(times[d] * want[d][0] - want[d][1] for d in own)) <= max(want[d][0] for d in own)
 
 
-def test_token_files_hold_the_mix(stages):
-    rows = sorted((r["doc_id"], r["text"]) for r in stages[4].collect())
+def test_token_files_hold_the_mix_in_training_order(spark, stages):
+    from pyspark.sql import functions as F
+
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
+    rows = [(r["doc_id"], r["text"]) for r in stages[4].select("doc_id", "text", part.alias("part"), F.col("_metadata.row_index").alias("row")).orderBy("part", "row").collect()]
     start, want = 0, []
     for (doc, _), ids in zip(rows, plain_tokens([t for _, t in rows]), strict=True):
         want.append((doc, start, len(ids) + 1, zlib.crc32(np.array([*ids, token_files.END_ID], dtype="<u4").tobytes())))
         start += len(ids) + 1
-    assert sorted(tuple(r) for r in stages[5].collect()) == want
+    assert sorted((tuple(r) for r in stages[5].collect()), key=lambda r: r[1]) == want
+
+
+def test_files_follow_the_schedule(stages):
+    data = [(r["doc_id"], r["text"], r["source"]) for r in stages[3].collect()]
+    source = {d: s for d, _, s in data}
+    ranks = {s: i % 3 for i, s in enumerate(sorted({s for s in source.values()}, key=lambda s: (s is None, s)))}
+    order = sorted((tuple(r) for r in stages[5].collect()), key=lambda r: r[1])
+    # sources of the first schedule fade out, those of the last fade in
+    place = {k: np.mean([i for i, r in enumerate(order) if ranks[source[r[0]]] == k]) / len(order) for k in set(ranks.values())}
+    assert place[0] < 0.5 < place[2] and place[0] < place[1] < place[2]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, more columns; and no rows at all."""
+    text = "the same words stand here in every row of this small table and in no other one"
+    data = [(1, text, "en", "a", 3, 1), (1, text, "en", "a", 3, 1), (None, None, None, None, None, None), (2, "", "de", None, 0, 2), (None, text, None, "b", 1, 3), (3, "quite another text", "en", "b", 1, 4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, node int")
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "an item that stands nowhere else"), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for rows in (docs, docs.where("false")):
+        own = materialize(rows, "odd")
+        for name, stage in corpus_pipeline.STAGES:
+            before, own = own, materialize(stage(spark, own, folder), name)
+            assert name == "tokens" or own.columns == docs.columns
+        assert own.count() == before.count() and (own.count() > 0) == (rows.count() > 0)
 
 
 def test_every_operator_has_its_query():

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from keystrata.llm import chat_format, license_scan, simple8b, token_files
 from keystrata.llm.chat_template import CONTROLS, Template, TemplateError, escape, fold, parse, unescape
@@ -168,6 +169,28 @@ def test_encoder_gives_the_tokenizers_ids(texts):
     assert [x.tolist() for x in token_files.encoder(token_files.tokenizer_path()).encode(texts)] == plain_tokens(texts)
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import Tokenizer
+
+    assert token_files.Encoder(token_files.tokenizer_path()).cuts
+    own = json.loads(Tokenizer.from_file(token_files.tokenizer_path()).to_str())
+    own["normalizer"]["normalizers"] = own["normalizer"]["normalizers"][:2]
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(own))
+    other, plain = token_files.Encoder(str(path)), Tokenizer.from_file(str(path))
+    assert not other.cuts
+    for t in ("Straße ÉTÉ", "It's A B", ""):
+        assert other.encode([t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_token_files_with_repeated_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(None if i % 3 else 7, f"text {i % 5}", i, "x") for i in range(60)], "doc_id long, text string, start int, file string").withColumn("_order0", F.lit(1))
+    got = sorted((tuple(r) for r in token_files.token_files(docs, token_files.tokenizer_path()).collect()), key=lambda r: r[1])
+    want = sorted(((d, t) for d, t, *_ in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r[0] for r in got] == [d for d, _ in want]
+    assert [r[2] for r in got] == [len(ids) + 1 for ids in plain_tokens([t for _, t in want])]
+
+
 def test_token_files(spark):
     data = [(i * 7 % 23 - 3, t) for i, t in enumerate(ODD * 2)] + [(None, "null id"), (5, "tie b"), (5, "tie a"), (5, None)]
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
