@@ -9,7 +9,7 @@ from keystrata.llm.decontaminate import drop_contaminated
 from keystrata.llm.near_duplicates import drop_near_duplicates
 from keystrata.llm.quality import keep_good
 from keystrata.llm.source_mix import plan_mix, training_order
-from keystrata.llm.token_files import token_files, tokenizer_path
+from keystrata.llm.token_files import as_read, token_files, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in order of document id; a row for each document in them, read back."""
-    return token_files(docs, tokenizer_path())
+    """Token files in training order, which is that of the rows in the files of the stage before; a row for each document
+    in them, read back."""
+    return token_files(docs, tokenizer_path(), as_read(docs))
 
 
 STAGES = [
