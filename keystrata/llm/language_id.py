@@ -157,11 +157,11 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not languages:
         return train(np.zeros((0, BUCKETS), dtype=np.float32), [])
     each = max(LEAST_ROWS, train_rows // languages)
-    # rows with small digests, about twice as many as are wanted; then the first of each language, whichever tasks hold them
+    # a row a language goes to all tasks, so only chosen texts are moved: rows with small digests, about twice as many as are wanted; then the first of each language, whichever tasks hold them
     digest = F.pmod(F.xxhash64("text", "id"), F.lit(1 << 30))
     share = counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), 2 * each / F.col("n") + 8 / F.col("n")).alias("share"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "id", "text"))
-    near = rows.withColumn("digest", digest).join(share, F.col("lang") == F.col("of")).where(F.col("digest") < F.col("share") * (1 << 30))
+    near = rows.withColumn("digest", digest).join(F.broadcast(share), F.col("lang") == F.col("of")).where(F.col("digest") < F.col("share") * (1 << 30))
     chosen = near.withColumn("place", place).where(F.col("place") <= each)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,15 +125,17 @@ def repeated_documents(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
-    """The documents with passages cut that lie wholly in homes elsewhere; all columns as they are."""
+    """The documents with passages cut that lie wholly in homes elsewhere; all columns as they are, whatever their names."""
+    fields = docs.columns
+    key, cut_at = (f"_{c}_{'_'.join(fields)}" for c in ("id", "spans"))  # names that no column has
     spans = passages(docs, least).where(F.col("removable") == F.col("end") - F.col("start"))
-    spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_sd_spans")).withColumnRenamed("doc_id", "_sd_id")
-    joined, fields = docs.join(spans, F.col("doc_id") == F.col("_sd_id"), "left"), docs.columns
+    spans = spans.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut_at))
+    joined = docs.join(spans, docs["doc_id"] == F.col(key), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
             out = []
-            for text, cut in zip(piece.column("text").to_pylist(), piece.column("_sd_spans").to_pylist(), strict=True):
+            for text, cut in zip(piece.column("text").to_pylist(), piece.column(cut_at).to_pylist(), strict=True):
                 if cut and text:
                     coded, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
                     for span in cut:

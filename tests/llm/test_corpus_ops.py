@@ -418,6 +418,14 @@ def test_passages_of_short_words_and_short_equal_texts(spark):
     assert got == {0: (1, 10, 0), 1: (1, 10, 10), 4: (1, 10, 10)}
 
 
+def test_cut_repeats_carries_any_column(spark):
+    shared = prose(random.Random(6), 60)
+    docs = spark.createDataFrame([(1, shared), (2, "Start. " + shared), (None, None)], "doc_id long, text string")
+    odd = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(["_sd_id", "_sd_spans", "start", "end", "removable", "digest", "whole"])))
+    cut = substring_dedup.cut_repeats(odd)
+    assert cut.columns == odd.columns and {r["doc_id"]: len(r["text"] or "") for r in cut.collect()}[2] < len(shared)
+
+
 def test_chunks_cover_the_text_and_move_with_it():
     pick = random.Random(8)
     text = prose(pick, 500).encode()
