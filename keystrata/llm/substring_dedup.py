@@ -1,9 +1,11 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A chunk ends where the gear hash of the bytes before has four given bits zero and no such place is within ``LEAST``
-bytes before, or ``MOST`` bytes after the last end. Where it ends depends on the 28 bytes before alone (but for the cut
-at MOST), so a passage has the same inner chunks wherever it stands, whatever was inserted before. Chunks are named by
-a 64-bit digest; a digest that occurs in two documents or more is repeated. Repeated chunks that follow each other make
+bytes before, or ``MOST`` bytes after the last end. Where that leaves ``LONG`` bytes or more without an end, as in a word
+that is repeated over and over, chunks also end where the hash is least among ``NEAR`` places; equal least places in a
+row are one period apart, and of these as many are left out as make a chunk of ``LEAST`` bytes. Where a chunk ends depends
+on the 28 to 40 bytes before (but for the cut at MOST, and which stretches are long), so a passage has the same inner
+chunks wherever it stands, whatever was inserted before. Chunks are named by a 64-bit digest; a digest that occurs in two documents or more is repeated. Repeated chunks that follow each other make
 a passage, reported from ``PASSAGE`` bytes on: random equal chunks and short common lines stay below, a passage of over
 50 words stays above, also of short words and without its first and last chunk. Texts that are shorter than that are
 reported where they equal another document's whole text. The first document (smallest id) that holds a chunk is its home; elsewhere it can be removed.
@@ -29,6 +31,7 @@ from pyspark.sql.window import Window
 from .common import table, text_slices
 
 LEAST, MOST, PASSAGE, WINDOW = 12, 512, 80, 16
+LONG, NEAR = 96, 24
 #: Seed of the digests of whole texts, which never equal those of chunks.
 WHOLE_SEED = 1
 #: The gear table: a random 32-bit number for each byte, the same in every run.
@@ -44,7 +47,31 @@ def cuts(data: np.ndarray) -> np.ndarray:
         h[size:] = h[size:] + (h[:-size] << np.uint32(size))
         size *= 2
     found = np.nonzero((h >> np.uint32(WINDOW - 5)) & np.uint32(15) == 0)[0] + 1
-    return found[np.diff(found, prepend=-LEAST) >= LEAST] if len(found) else found
+    found = found[np.diff(found, prepend=-LEAST) >= LEAST] if len(found) else found
+    ends = np.concatenate([[0], found, [len(data)]])
+    gaps = np.diff(ends)
+    if gaps.max() < LONG:
+        return found
+    more = least_places(h & np.uint32((1 << (WINDOW - 1)) - 1))
+    gap = np.searchsorted(ends, more, "right") - 1
+    more, gap = more[more < len(data)], gap[more < len(data)]
+    inner = (gaps[gap] >= LONG) & (more - ends[gap] >= LEAST) & (ends[gap + 1] - more >= LEAST)
+    return np.sort(np.concatenate([found, more[inner]]))
+
+
+def least_places(h: np.ndarray) -> np.ndarray:
+    """The ends after places whose hash is the least of the last ``NEAR``; of equal ones in a row, every so many."""
+    low, reach = h, 1
+    while reach < NEAR:
+        step = min(reach, NEAR - reach)
+        low = np.concatenate([low[:step], np.minimum(low[step:], low[:-step])])
+        reach += step
+    at = np.nonzero(h == low)[0]
+    period = np.diff(at, prepend=-NEAR - 1)
+    first = np.append(True, h[at[1:]] != h[at[:-1]]) | (period > NEAR)
+    place = np.arange(len(at))
+    place -= np.maximum.accumulate(np.where(first, place, 0))
+    return at[place % -(-LEAST // period) == 0] + 1
 
 
 def chunks(coded: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -418,6 +418,18 @@ def test_passages_of_short_words_and_short_equal_texts(spark):
     assert got == {0: (1, 10, 0), 1: (1, 10, 10), 4: (1, 10, 10)}
 
 
+def test_passages_of_repeated_words(spark):
+    pick = random.Random(17)
+    word = lambda least: "".join(pick.choice("etaoinshrdluü") for _ in range(pick.randint(least, 9)))
+    shared = [" ".join([word(2)] * 51) for _ in range(60)] + [" ".join([word(4)] * 26 + [word(4)] * 25) for _ in range(60)]
+    texts = [f"{prose(pick, 30)} {s} {prose(pick, 30)}" for s in shared for _ in range(2)]
+    found = {r["doc_id"] for r in substring_dedup.repeated_documents(corpus(spark, texts)).collect()}
+    assert len(found) >= 0.95 * len(texts)
+    for t in ["x" * 5000, "ab " * 2000, "", "x", "long word " * 300]:
+        starts, ends = substring_dedup.chunks(t.encode())
+        assert ends[-1] == len(t) and (starts[1:] == ends[:-1]).all() and (ends - starts).max(initial=0) <= substring_dedup.MOST
+
+
 def test_cut_repeats_carries_any_column(spark):
     shared = prose(random.Random(6), 60)
     docs = spark.createDataFrame([(1, shared), (2, "Start. " + shared), (None, None)], "doc_id long, text string")
