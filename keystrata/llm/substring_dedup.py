@@ -10,7 +10,8 @@ a passage, reported from ``PASSAGE`` bytes on: random equal chunks and short com
 50 words stays above, also of short words and without its first and last chunk. Texts that are shorter than that are
 reported where they equal another document's whole text. The first document (smallest id) that holds a chunk is its home; elsewhere it can be removed.
 
-Scale: digests are counted with partial sums and joined back by digest. A digest may be on a third of all rows: its
+Scale: equal chunks that follow each other in a text are one row, so a text of one repeated word gives few. Digests are
+counted with partial sums and joined back by digest. A digest may be on a third of all rows: its
 counts are summed before the shuffle, and the join is one that adaptive execution splits. Only a document's own chunks
 meet in one task. Nothing is broadcast or collected.
 
@@ -89,7 +90,7 @@ def chunks(coded: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def digests(texts: list[str | None], short: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every chunk of every text: the text's place, the digest, start and end in bytes, and whether it is a whole
-    text, which those under ``short`` bytes give beside their chunks."""
+    text, which those under ``short`` bytes give beside their chunks. Equal chunks in a row are one."""
     from xxhash import xxh3_64_intdigest
 
     rows, names, starts, ends, whole = [], [], [], [], []
@@ -98,17 +99,23 @@ def digests(texts: list[str | None], short: int = 0) -> tuple[np.ndarray, np.nda
             continue
         coded = text.encode("utf-8", "surrogatepass")
         s, e = chunks(coded)
-        names.extend([xxh3_64_intdigest(coded[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+        name = np.array([xxh3_64_intdigest(coded[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)], dtype=np.uint64)
+        again = name[1:] == name[:-1]
+        if again.any():
+            first = np.append(True, ~again)
+            name, s = name[first], s[first]
+            e = np.append(s[1:], e[-1])
         alone = len(coded) < short
         if alone:
-            names.append(xxh3_64_intdigest(coded, WHOLE_SEED))
+            name = np.append(name, np.uint64(xxh3_64_intdigest(coded, WHOLE_SEED)))
             s, e = np.append(s, 0), np.append(e, len(coded))
+        names.append(name)
         rows.append(np.full(len(s), i))
         starts.append(s)
         ends.append(e)
         whole.append(np.arange(len(s)) >= len(s) - alone)
     none = [np.zeros(0, dtype=np.int64)]
-    return np.concatenate(rows or none), np.array(names, dtype=np.uint64).view(np.int64), np.concatenate(starts or none), np.concatenate(ends or none), np.concatenate(whole or [np.zeros(0, dtype=bool)])
+    return np.concatenate(rows or none), np.concatenate(names or none).view(np.int64), np.concatenate(starts or none), np.concatenate(ends or none), np.concatenate(whole or [np.zeros(0, dtype=bool)])
 
 
 def chunk_table(docs: DataFrame, short: int = 0) -> DataFrame:
