@@ -41,7 +41,7 @@ END_ID, FILE_IDS, CACHE_WORDS, CACHE_CHARS = 1, 1 << 20, 300_000, 48
 
 #: Texts of these characters alone are cut into the tokenizer's words here: lower case and cutting are plain for them.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ \\n\\t\\r]*")
-PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \\n\\t\\r]+")
+PLAIN_WORDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-zß-öø-ÿ0-9 \\n\\t\\r]+")
 
 
 # How the tokenizer that these rules hold for normalizes and cuts texts.
@@ -63,6 +63,20 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class Words(dict):
+    """Ids of words, each asked of the library's model once; long words are not kept."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(word) <= CACHE_CHARS:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, with a bounded cache of the ids of words."""
 
@@ -72,9 +86,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = byte_letters()
         self.cuts = self._cuts_so()
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self.model)
         self.pieces: dict[str, bytes] = {"": b""}
 
     def _cuts_so(self) -> bool:
@@ -83,18 +96,9 @@ class Encoder:
         added = [t["content"] for t in own["added_tokens"]]
         return own["normalizer"] == NORMALIZER and own["pre_tokenizer"] == PRE_TOKENIZER and all(a.startswith("<|") for a in added) and own["model"].get("type") == "BPE"
 
-    def plain(self, words: list[list[str]]) -> list[bytes]:
-        """Ids of texts that are cut into words already; new words go to the library's model."""
-        known = self.words
-        new = set().union(*words).difference(known)
-        for word in new:
-            letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            known[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        out = [b"".join(map(known.__getitem__, w)) for w in words]
-        for word in new:
-            if len(word) > CACHE_CHARS:
-                del known[word]
-        return out
+    def plain(self, text: str) -> bytes:
+        """Ids of a plain text."""
+        return b"".join(map(self.words.__getitem__, PLAIN_WORDS.findall(text.lower())))
 
     def other(self, texts: list[str]) -> list[bytes]:
         """Ids of other texts: their pieces between spaces go to the library's tokenizer."""
@@ -114,16 +118,15 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Each text's ids, without an end id."""
         if len(self.words) > CACHE_WORDS:
-            self.words = {}
+            self.words = Words(self.model)
         if len(self.pieces) > CACHE_WORDS:
             self.pieces = {"": b""}
         texts = [t or "" for t in texts]
         if not self.cuts:
             return [np.array(f.ids, dtype="<u4") for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         easy = ["<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
-        plain = iter(self.plain([PLAIN_WORDS.findall(t.lower()) for t, e in zip(texts, easy, strict=True) if e]))
         other = iter(self.other([t for t, e in zip(texts, easy, strict=True) if not e]))
-        return [np.frombuffer(next(plain if e else other), dtype="<u4") for e in easy]
+        return [np.frombuffer(self.plain(t) if e else next(other), dtype="<u4") for t, e in zip(texts, easy, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
