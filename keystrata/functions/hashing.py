@@ -64,9 +64,14 @@ class FilterSize:
         return cls(bits, max(1, math.ceil(best / n * math.log(2))), max(1, -(-bits // FILTER_PARTS)))
 
 
+def filter_hash(segment: Column, key: Column) -> Column:
+    """The CRC-32 that a segment's key is found by."""
+    return F.crc32(F.encode(F.concat(segment.cast("string"), F.lit(":"), key), "UTF-8"))
+
+
 def filter_positions(segment: Column, key: Column, size: FilterSize) -> Column:
     """The bits that a key of a segment sets: double hashing of a CRC-32, inside the segment's part."""
-    h = F.crc32(F.encode(F.concat(segment.cast("string"), F.lit(":"), key), "UTF-8"))
+    h = filter_hash(segment, key)
     high = F.shiftright(h, 16)
     part = F.pmod(segment, F.lit(FILTER_PARTS)).cast("long") * F.lit(size.part_bits)
     return F.transform(F.sequence(F.lit(0), F.lit(size.probes - 1)), lambda i: part + F.pmod(h + i * high, F.lit(size.part_bits).cast("long")))

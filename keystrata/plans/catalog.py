@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keystrata.functions.hashing import FilterSize, entry_bytes, filter_positions, fnv1a32, record_bytes, shard
-from keystrata.operators import accounting, resolve, sequential
+from keystrata.functions.hashing import FilterSize, entry_bytes, fnv1a32, record_bytes, shard
+from keystrata.operators import accounting, membership, resolve, sequential
 from keystrata.plans.store import Options, Store
 from keystrata.sources import codec, oplog
 from keystrata.sources.oplog import table
@@ -422,15 +422,10 @@ FROM asked a LEFT JOIN held h ON a.segment = h.segment AND a.key = h.key GROUP B
 """.replace("SELECT segment, count(*) AS candidates", "SELECT a.segment, count(*) AS candidates").replace("count(s.bit)", "count(s.segment)"))
 def bloom_candidates(spark, sf_dir):
     """For each segment, keys of all customers that its filter can't exclude, and how many are false."""
-    size = FILTER
-    rows = segmented(spark, sf_dir).select("segment", "key")
-    bits = rows.select("segment", F.explode(filter_positions(F.col("segment"), F.col("key"), size)).alias("bit")).distinct()
-    probes = rows.select("segment").distinct().crossJoin(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).where("id IS NOT NULL").distinct())
-    probes = probes.select("segment", F.concat(F.lit("user:"), F.col("id")).alias("key"))
-    asked = probes.select("segment", "key", F.explode(F.array_distinct(filter_positions(F.col("segment"), F.col("key"), size))).alias("bit"))
-    found = asked.join(bits.withColumn("set", F.lit(1)), ["segment", "bit"], "left").groupBy("segment", "key").agg(F.count("*").alias("k"), F.count("set").alias("hits"))
-    held = found.where("k = hits").join(rows.withColumn("held", F.lit(True)), ["segment", "key"], "left")
-    return held.groupBy("segment").agg(F.count("*").alias("candidates"), F.count("held").alias("held"), F.count_if(F.col("held").isNull()).alias("false_positives"))
+    rows = events_log(spark, sf_dir).select(F.floor(F.col("seq") / SEGMENT_ROWS).alias("segment"), "key")
+    keys = table(spark, sf_dir, "customer").where("c_custkey IS NOT NULL").select(F.concat(F.lit("user:"), F.col("c_custkey")).alias("key"))
+    found = membership.candidates(rows, keys, FILTER)
+    return found.withColumn("false_positives", F.col("candidates") - F.col("held"))
 
 
 @query("SELECT key, value, expiry_ns, is_deleted, seq FROM latest")
